@@ -5,14 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import compression_quality, language_id, matroska, quality_rules
+from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, quality_rules, sql
+from lodestar.llm.host_reputation import UrlRule
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [UrlRule("block", "net/"), UrlRule("allow", "example.net/en/"), UrlRule("block", "example.com/de/"), UrlRule("allow", "org/fr/")]
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality label of the document whose number its url carries."""
+    pages = host_reputation.parsed(table(spark, sf_dir, "pages").select("page_id", "url"))
+    number = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS bigint)")
+    labels = table(spark, sf_dir, "labels").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    outcomes = pages.select("host", number.alias("number")).join(labels, F.col("number") == F.col("doc_id")).select("host", "good")
+    return host_reputation.judge(pages.select("page_id", "url"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n_outcomes")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
@@ -28,12 +42,16 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apportionment.mix(apportionment.sized(table(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
 
 
-OPERATORS = (op3_media_columns, op5_quality_rules, op8_compression_quality, op10_language_id)
+OPERATORS = (op1_url_reputation, op3_media_columns, op5_quality_rules, op8_compression_quality, op9_mix_sources, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_reputation": sql.OP1, "op9_mix_sources": sql.OP9}
