@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, quality_rules, sql
+from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, packing, quality_rules, sql
 from lodestar.llm.host_reputation import UrlRule
 
 
@@ -37,6 +37,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compression_quality.score(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
-OPERATORS = (op1_url_reputation, op3_media_columns, op5_quality_rules, op8_compression_quality, op9_mix_sources, op10_language_id)
+OPERATORS = (op1_url_reputation, op3_media_columns, op5_quality_rules, op7_pack_documents, op8_compression_quality, op9_mix_sources, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
