@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, packing, quality_rules, sql
+from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, packing, quality_rules, sql, tool_calls
 from lodestar.llm.host_reputation import UrlRule
 
 
@@ -37,6 +37,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+TOOLS = {"reply": tool_calls.Tool({"text": tool_calls.Parameter("string", True, least=50, most=400), "turn": tool_calls.Parameter("integer", True, least=0)})}
+
+
+def op6_link_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no tool calls of its own: each user turn calls ``reply``, which the next
+    assistant turn answers."""
+    linked = tool_calls.link(tool_calls.turns_as_calls(table(spark, sf_dir, "conversations")), TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -61,7 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
-OPERATORS = (op1_url_reputation, op3_media_columns, op5_quality_rules, op7_pack_documents, op8_compression_quality, op9_mix_sources, op10_language_id)
+OPERATORS = (op1_url_reputation, op3_media_columns, op5_quality_rules, op6_link_tool_calls, op7_pack_documents, op8_compression_quality, op9_mix_sources, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -69,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": sql.OP1, "op9_mix_sources": sql.OP9}
+    return {"op1_url_reputation": sql.OP1, "op6_link_tool_calls": sql.OP6, "op9_mix_sources": sql.OP9}

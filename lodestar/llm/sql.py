@@ -82,3 +82,22 @@ placed AS (SELECT d.*, blocks, shard_size, least(blocks * 32, shard_size * 2) AS
   FROM dealt d JOIN shards s ON d.source IS NOT DISTINCT FROM s.source AND d.bucket = s.bucket AND d.shard = s.shard)
 SELECT doc_id, source, size, source_size, target, blocks,
  (CASE WHEN shard_size > 0 THEN (quota // shard_size) * size + greatest(0, least(size, quota - (quota // shard_size) * shard_size - start)) ELSE 0 END)::BIGINT AS taken FROM placed"""
+
+# --- op6 ---
+
+_CONTENT = "coalesce(text, '')"
+OP6 = f"""WITH items AS (SELECT conv_id, turn, role, text,
+  CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+  CASE role WHEN 'user' THEN conv_id::VARCHAR || ':' || turn::VARCHAR WHEN 'assistant' THEN conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR END AS call_id FROM conversations),
+links AS (SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS first_turn, count(*) FILTER (kind = 'result') AS n_results FROM items WHERE call_id IS NOT NULL GROUP BY ALL),
+joined AS (SELECT items.*, first_turn, n_results, CASE WHEN kind = 'result' AND first_turn IS NOT NULL THEN first_turn END AS call_turn
+  FROM items LEFT JOIN links ON items.conv_id = links.conv_id AND items.call_id = links.call_id)
+SELECT conv_id, turn, 0 AS place, role, kind, call_id,
+ CASE WHEN kind = 'call' AND first_turn <> turn THEN 'duplicate' WHEN kind = 'call' AND n_results = 0 THEN 'unanswered' WHEN kind = 'result' AND first_turn IS NULL THEN 'orphan' ELSE 'ok' END AS state,
+ call_turn,
+ CASE WHEN kind = 'call' THEN concat_ws('; ', CASE WHEN length({_CONTENT}) < 50 THEN 'text is below 50' WHEN length({_CONTENT}) > 400 THEN 'text is above 400' END, CASE WHEN turn < 0 THEN 'turn is below 0' END) ELSE '' END AS errors,
+ row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(call_turn, turn), CASE WHEN call_turn IS NULL THEN 0 ELSE 1 END, turn, role, text) - 1 AS position,
+ CASE kind WHEN 'call' THEN '{{"arguments":{{"text":' || to_json({_CONTENT})::VARCHAR || ',"turn":' || turn::VARCHAR || '}},"id":' || to_json(call_id)::VARCHAR || ',"name":"reply","role":' || to_json(role)::VARCHAR || '}}'
+  WHEN 'result' THEN '{{"content":' || to_json({_CONTENT})::VARCHAR || ',"id":' || to_json(call_id)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}}'
+  ELSE '{{"content":' || to_json({_CONTENT})::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}}' END AS json
+FROM joined"""
