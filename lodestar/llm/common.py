@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,25 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow() with this package sent along, once for each application, so that workers can
+    import it wherever they start."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parents[1]
+        path = f"{tempfile.mkdtemp(prefix='lodestar-')}/lodestar.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(package.rglob("*")):
+                if file.suffix in (".py", ".json"):
+                    z.write(file, file.relative_to(package.parent))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the cluster names none, as in tests,
     a local one is set."""

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold
+from lodestar.llm.common import fold, map_arrow
 from lodestar.llm.sampling import labelled_texts
 
 LEVEL = 3
@@ -122,4 +122,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     seen = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text")
-    return seen.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(seen, run, "doc_id long, held_out boolean, score double, predicted int")

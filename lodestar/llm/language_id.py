@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold
+from lodestar.llm.common import fold, map_arrow
 from lodestar.llm.sampling import labelled_texts
 
 BUCKETS, DIMENSION, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -153,4 +153,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     seen = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text")
-    return seen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_arrow(seen, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

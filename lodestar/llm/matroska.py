@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestar.llm.common import map_arrow
+
 # Identifiers of the elements in use.
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -346,7 +348,7 @@ def _arrow(ddl: str) -> pa.Schema:
 
 def store(docs: DataFrame, lacing: str = "fixed") -> DataFrame:
     """(doc_id, text) -> (doc_id, media): each text as the samples of a Matroska file."""
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _batches(it, lambda i, t: [(i, mux(payload_of(t)[0], lacing))], _arrow(MEDIA)), MEDIA)
+    return map_arrow(docs.select("doc_id", "text"), lambda it: _batches(it, lambda i, t: [(i, mux(payload_of(t)[0], lacing))], _arrow(MEDIA)), MEDIA)
 
 
 def packet_table(media: DataFrame) -> DataFrame:
@@ -363,7 +365,7 @@ def packet_table(media: DataFrame) -> DataFrame:
         for p in movie.packets:
             yield (i, *p, None)
 
-    return media.select("doc_id", "media").mapInArrow(lambda it: _batches(it, rows, _arrow(PACKETS)), PACKETS)
+    return map_arrow(media.select("doc_id", "media"), lambda it: _batches(it, rows, _arrow(PACKETS)), PACKETS)
 
 
 def _digest(i, text):
@@ -376,4 +378,4 @@ def _digest(i, text):
 
 def digest(docs: DataFrame) -> DataFrame:
     """Store each text, read the file back and describe both; the file itself stays in the task."""
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _batches(it, _digest, _arrow(DIGEST)), DIGEST)
+    return map_arrow(docs.select("doc_id", "text"), lambda it: _batches(it, _digest, _arrow(DIGEST)), DIGEST)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved
+from lodestar.llm.common import map_arrow, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, separator: int =
                 if rows:
                     yield _batch(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

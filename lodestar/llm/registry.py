@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, packing, quality_rules, sql, tool_calls
+from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, ngram_join, packing, quality_rules, sql, tool_calls
 from lodestar.llm.host_reputation import UrlRule
 
 
@@ -27,6 +27,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(pages.select("page_id", "url"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n_outcomes")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
-OPERATORS = (op1_url_reputation, op3_media_columns, op5_quality_rules, op6_link_tool_calls, op7_pack_documents, op8_compression_quality, op9_mix_sources, op10_language_id)
+OPERATORS = (op1_url_reputation, op2_ngram_join, op3_media_columns, op5_quality_rules, op6_link_tool_calls, op7_pack_documents, op8_compression_quality, op9_mix_sources, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
