@@ -43,7 +43,7 @@ SHARE = (80, 100)
 U = np.uint64
 _LOW = U((1 << 48) - 1)
 #: Tokens of one part of the hash space, of one batch, and of one part of the classes, about.
-PART, BATCH = 2_000_000, 1 << 20
+PART, BATCH = 1_000_000, 1 << 18
 
 
 def _rows(schema: str, *columns) -> pa.RecordBatch:
