@@ -18,7 +18,9 @@ raises ValueError. Results are the same on every run but for the order among equ
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,37 +39,81 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 # --- tokens ---
 
 
+class Words(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers, encoded when first asked for.
+
+    Two generations: when the younger is full it becomes the older one and what is asked for again
+    moves over, so frequent words stay and memory is bounded.
+
+    A run of lower-case Latin letters is one piece to the tokenizer, and so is a run of ASCII
+    punctuation without an apostrophe after it; such pieces go to its merge model at once, in the
+    alphabet that byte-level models use for bytes. All other words go through the whole tokenizer."""
+
+    _plain = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)?")
+    # the rule of byte-level alphabets: printable bytes stand for themselves, the rest from 256 on
+    _hidden = [*range(33), *range(127, 161), 173]
+    _alphabet = {x: 256 + k for k, x in enumerate(_hidden)}
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__({"": b""})
+        self.tokenizer, self.most, self.old = tokenizer, most, {}
+        self.merge = tokenizer.model.tokenize
+
+    def _merged(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._alphabet)
+        ids = [t.id for t in self.merge(seen)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            if m := self._plain.fullmatch(word):
+                core, tail = m.groups()
+                got = self[core] + self._merged(tail) if tail else self._merged(core)
+            else:
+                got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 class WordEncoder:
     """The tokenizer behind a table of words it has met.
 
     The tokenizer parts text at white space before anything else and no rule reaches across it, so
     a text's ids are those of its space-separated words in a row; other white space stays inside
-    the words for the tokenizer itself to part. The table is emptied when it is full."""
+    the words for the tokenizer itself to part. It lower-cases, letter by letter; texts within
+    Latin-1, where that has no special cases, are lower-cased beforehand. That holds for the file
+    word_bpe_49k.json; another file is used as it is (``by_word`` false)."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
-
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for p in parts for w in p}.difference(self.known)
-        if new and len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = {w for p in parts for w in p if w}
-        if new:
-            words = list(new)
-            for w, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                ids = got.ids
-                self.known[w] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
-        known = self.known
-        for p in parts:
-            yield b"".join([known[w] for w in p])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = self._parts_at_spaces(path)
+        self.words = Words(self.tokenizer, most)
+
+    @staticmethod
+    def _parts_at_spaces(path: str) -> bool:
+        """Whether the file has the normalizers and pre-tokenizers that the shortcuts rely on."""
+        with open(path, "rb") as f:
+            made = json.load(f)
+        steps = lambda x, k: [s["type"] for s in ((x or {}).get(k) or [x or {"type": ""}])]
+        return steps(made.get("normalizer"), "normalizers") == ["NFC", "Replace", "Lowercase"] and steps(made.get("pre_tokenizer"), "pretokenizers") == ["Split", "ByteLevel"]
 
     def encode(self, text: str) -> bytes:
-        return next(self.encode_many([text]))
+        """Ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
@@ -95,19 +141,17 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, separator: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows: list[tuple] = []
-                weight = 0
-                for i, ids in zip(part.column(0).to_pylist(), enc.encode_many([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    for k, start, raw in cut(ids + end, tokens):
-                        rows.append((i, k, start, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None))
-                        weight += len(raw) * keep_ids
-                    if weight > 4 << 20:
-                        yield _batch(rows)
-                        rows, weight = [], 0
-                if rows:
+            rows: list[tuple] = []
+            weight = 0
+            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for k, start, raw in cut(enc.encode(text.as_py() or "") + end, tokens):
+                    rows.append((i, k, start, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None))
+                    weight += len(raw) * keep_ids
+                if weight > 4 << 20:
                     yield _batch(rows)
+                    rows, weight = [], 0
+            if rows:
+                yield _batch(rows)
 
     return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 
