@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -89,6 +90,8 @@ def drop_saved(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def total_and_count(df: DataFrame, column: str) -> tuple[int, int]:
-    r = df.agg(F.sum(column).alias("s"), F.count("*").alias("n")).first()
-    return int(r["s"] or 0), int(r["n"])
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of stages that nothing refers to any more. It
+    acts when the driver collects garbage, which else may be long after the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, matroska, ngram_join, packing, quality_rules, sql, tool_calls
+from lodestar.llm import apportionment, compression_quality, host_reputation, language_id, line_dedup, matroska, ngram_join, packing, quality_rules, sql, tool_calls
 from lodestar.llm.host_reputation import UrlRule
 
 
@@ -35,6 +35,15 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its lines with words and the numbers of those that go."""
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.removals(docs).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "n_lines", "removed")
+    out = line_dedup.keyed(docs.select("doc_id", "text")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -75,7 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
-OPERATORS = (op1_url_reputation, op2_ngram_join, op3_media_columns, op5_quality_rules, op6_link_tool_calls, op7_pack_documents, op8_compression_quality, op9_mix_sources, op10_language_id)
+OPERATORS = (op1_url_reputation, op2_ngram_join, op3_media_columns, op4_line_dedup, op5_quality_rules, op6_link_tool_calls, op7_pack_documents, op8_compression_quality, op9_mix_sources, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
