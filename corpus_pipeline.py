@@ -1,25 +1,64 @@
-"""The corpus pipeline: stages that each read what the one before wrote."""
+"""The corpus pipeline: stages that each read what the one before wrote.
+
+quality rules -> line dedup -> n-gram Jaccard join -> mixing sources -> best-fit packing. Every
+stage but the last returns the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import quality_rules
+from lodestar.llm import apportionment, line_dedup, ngram_join, packing, quality_rules
 from lodestar.llm.common import saved
+from lodestar.llm.registry import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list keep."""
+    """Documents that the base rule and the learned decision list keep.
+
+    The list is learned from the labelled documents of the stage's own input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rules = quality_rules.fit(docs, labels)
-    return quality_rules.judge(docs, rules).filter("kept").select(*COLUMNS)
+    return quality_rules.judge(docs, quality_rules.fit(docs, labels)).filter("kept").select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier line; those that lose all their words go."""
+    return line_dedup.dedup(docs.select(*COLUMNS))
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one of least id."""
+    return ngram_join.keep_one(docs.select(*COLUMNS))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, to the nearest whole time: none, once or twice.
+
+    Shares are met in words by whole shards; in each shard at most one document is taken in part."""
+    sizes = apportionment.sized(docs)
+    taken = apportionment.mix(sizes).filter("size > 0").select("doc_id", "source", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    taken = saved(taken.filter("times > 0").groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s")).agg(F.max("times").alias("times")), "taken")
+    df = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")))
+    return df.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path()).drop("ids")
 
 
-STAGES = [("quality rules", quality_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", join_stage),
+    ("mixing sources to target weights", mix_stage),
+    ("best-fit packing", pack_stage),
+]
 
-#: Learned rules have no SQL; tests hold the stages against brute force.
+#: Learned rules and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

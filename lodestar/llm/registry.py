@@ -41,7 +41,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.removals(docs).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "n_lines", "removed")
     out = line_dedup.keyed(docs.select("doc_id", "text")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": sql.OP1, "op6_link_tool_calls": sql.OP6, "op9_mix_sources": sql.OP9}
+    return {"op1_url_reputation": sql.OP1, "op2_ngram_join": sql.OP2, "op4_line_dedup": sql.OP4, "op6_link_tool_calls": sql.OP6, "op9_mix_sources": sql.OP9}

@@ -101,3 +101,28 @@ SELECT conv_id, turn, 0 AS place, role, kind, call_id,
   WHEN 'result' THEN '{{"content":' || to_json({_CONTENT})::VARCHAR || ',"id":' || to_json(call_id)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}}'
   ELSE '{{"content":' || to_json({_CONTENT})::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}}' END AS json
 FROM joined"""
+
+# --- op2, op4: sets of shingles, joined on each shingle; for small tables ---
+
+
+def _shingles(words: str) -> str:
+    return f"list_distinct(CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < 5 THEN [array_to_string({words}, ' ')] ELSE [array_to_string({words}[i:i+4], ' ') for i in range(1, len({words}) - 3)] END)"
+
+
+OP2 = f"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents),
+sets AS (SELECT doc_id, {_shingles("w")} AS s FROM worded),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM tokens x JOIN tokens y USING (t) WHERE x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON other = links.a)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+OP4 = f"""WITH lines AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT doc_id, line, regexp_extract_all(t, {_WORDS}) AS w FROM lines),
+sets AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS k, {_shingles("w")} AS s FROM worded WHERE len(w) > 0),
+tokens AS (SELECT k, len(s) AS n, unnest(s) AS t FROM sets),
+gone AS (SELECT DISTINCT k FROM (SELECT x.k FROM tokens x JOIN tokens y ON x.t = y.t AND y.k < x.k
+  GROUP BY x.k, y.k, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*)))),
+per AS (SELECT doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, string_agg(CASE WHEN gone.k IS NOT NULL THEN line::VARCHAR END, ',' ORDER BY line) AS removed
+  FROM sets LEFT JOIN gone USING (k) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN per USING (doc_id)"""
