@@ -17,12 +17,12 @@ learned; with nothing to learn from everything is ``und``; ids that repeat are p
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from lodestar.llm.sampling import labelled_texts
 
 BUCKETS, DIMENSION, ORDERS = 1 << 15, 16, (2, 3, 4)
 PIECE = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
