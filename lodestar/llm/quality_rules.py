@@ -36,8 +36,7 @@ def repeated_words(w: Column) -> Column:
     The places of repeated windows, sorted, give the covered words: each adds three, less what
     the next one covers as well. Most texts stop at the count of distinct windows.
     """
-    n = F.size(w)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.slice(w, i, F.lit(3))))
+    windows = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.slice(w, i, F.lit(3))))
 
     def covered(h: Column) -> Column:
         bits = F.length(F.bin(F.size(h).cast("long")))
@@ -59,27 +58,30 @@ def repeated_words(w: Column) -> Column:
         return let(let(packed, places), span)
 
     zero = F.lit(0).cast("long")
-    return F.when(n < 4, zero).otherwise(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(covered(h))))
+    return F.when(F.size(w) < 4, zero).otherwise(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(covered(h))))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts of COUNTS and n_lines, n_upper, longest_run (all long)."""
+    """docs with the counts of COUNTS and n_lines, n_upper, n_distinct (all long).
+
+    The counts leave through a generator of one row. A filter on them stays above it; pushed below,
+    it would have every count worked out again for every place that names one."""
     t = text_of(F.col(text))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    made = {
+        "n_words": lambda w, l: F.size(w),
+        "word_chars": lambda w, l: F.length(F.array_join(w, "")),
+        "n_symbols": lambda w, l: F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")),
+        "n_dup_lines": lambda w, l: F.size(l) - F.size(F.array_distinct(l)),
+        "n_repeat_words": lambda w, l: repeated_words(w),
+        "n_lines": lambda w, l: F.size(l),
+        "n_upper": lambda w, l: F.length(F.regexp_replace(t, "[^A-Z!]+", "")),
+        "n_distinct": lambda w, l: F.size(F.array_distinct(w)),
+    }
+    count = lambda w: F.struct(*[f(w, F.col("__l")).cast("long").alias(c) for c, f in made.items()])
     held = docs.withColumns({"__w": words(F.col(text)), "__l": lines})
-    w, n = F.col("__w"), lambda c: c.cast("long")
-    return held.withColumns(
-        {
-            "n_words": n(F.size(w)),
-            "word_chars": n(F.length(F.array_join(w, ""))),
-            "n_symbols": n(F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", ""))),
-            "n_dup_lines": n(F.size("__l") - F.size(F.array_distinct("__l"))),
-            "n_repeat_words": repeated_words(w),
-            "n_lines": n(F.size("__l")),
-            "n_upper": n(F.length(F.regexp_replace(t, "[^A-Z!]+", ""))),
-            "n_distinct": n(F.size(F.array_distinct(w))),
-        }
-    ).drop("__w", "__l")
+    held = held.select(*[F.col(c) for c in docs.columns if c not in made], F.explode(F.transform(F.array("__w"), count)).alias("__s"))
+    return held.withColumns({c: F.col(f"__s.{c}") for c in made}).drop("__s")
 
 
 def features() -> dict[str, Column]:
