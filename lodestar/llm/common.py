@@ -75,19 +75,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as written in the shared folder: cuts the lineage, survives lost executors, and is
-    computed once however often it is read. The files live as long as the folder does."""
+    computed once however often it is read. The files live until drop_saved() or with the folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete what saved() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def drop_saved(*frames: DataFrame) -> None:
+    """Delete what saved() wrote, once everything made from it is written itself."""
+    for df in frames:
+        if path := getattr(df, "_saved_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

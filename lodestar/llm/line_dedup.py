@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import free_shuffles, let, saved, text_of, words
+from lodestar.llm.common import SPACES, drop_saved, free_shuffles, let, saved, text_of, words
 
 SHARE = (80, 100)
 #: Tokens that the prefixes of step 2 must share.
@@ -71,7 +71,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
     """(doc_id, key, line, cls, n, prefix) of each line with words; prefix in the order of hashes."""
     df = keyed(docs).select("doc_id", F.col("__key").alias("key"), F.posexplode(F.split(text_of(F.col("text")), "\n")).alias("line", "t"))
-    df = df.select("doc_id", "key", "line", token_set(F.col("t"), width).alias("s")).filter(F.size("s") > 0)
+    df = df.filter(F.btrim("t", F.lit(SPACES)) != "")  # not on the set: a filter on it would work it out twice
+    df = df.select("doc_id", "key", "line", token_set(F.col("t"), width).alias("s"))
     n = F.size("s")
     t = _least(n, share)
     return df.select("doc_id", "key", "line", F.xxhash64("s", n).alias("cls"), n.alias("n"), F.slice("s", F.lit(1), n - t + F.least(F.lit(SHARED), t)).alias("prefix"))
@@ -87,6 +88,7 @@ def _candidates(lines: DataFrame, share: tuple[int, int]) -> tuple[DataFrame, Da
     hits = posts.join(several.hint("shuffle_hash"), "token").groupBy(F.col("cls").alias("c")).agg(F.count("*").alias("hits"))
     near = classes.join(hits, F.col("cls") == F.col("c")).filter(F.col("hits") >= F.least(F.lit(SHARED), _least(F.col("n"), share)) * F.col("copies"))
     near = saved(near.select("cls", "first", "n"), "near")
+    drop_saved(several)
     free_shuffles(lines.sparkSession)
     return classes, near
 
@@ -101,14 +103,16 @@ def _rare_first(docs: DataFrame, near: DataFrame, share: tuple[int, int], width:
     df = df.select(F.explode(picked).alias("p")).select("p.cls", "p.n", token_set(F.col("p.t"), width).alias("s"))
     sets = saved(df, "sets")
     free_shuffles(docs.sparkSession)
-    posts = sets.select("cls", "n", F.explode("s").alias("token")).distinct()
+    # repeated rows give a class twice here; that may raise a count, which any order bears
+    posts = sets.select("cls", "n", F.explode("s").alias("token"))
     counts = saved(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
     free_shuffles(docs.sparkSession)
-    kept = posts.join(counts.hint("shuffle_hash"), "token").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("p"))
+    kept = posts.join(counts.hint("shuffle_hash"), "token").groupBy("cls", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("p"))
     kept = kept.filter(F.size("p") >= _least(F.col("n"), share))
     kept = kept.select("cls", "n", F.transform("p", lambda x: x["token"]).alias("tokens"))
     out = kept.join(near.select(F.col("cls").alias("c"), "first"), F.col("cls") == F.col("c")).select("cls", "first", "n", "tokens")
     out = saved(out, "rare-first")
+    drop_saved(sets, counts)
     free_shuffles(docs.sparkSession)
     return out
 
@@ -157,7 +161,9 @@ def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SH
     others = posts.select(F.col("token").alias("e_token"), *[F.col(c).alias(f"e_{c}") for c in marked])
     tries = rest.join(others, (F.col("token") == F.col("e_token")) & _may_match(share)).select("cls", F.col("e_cls").alias("other"))
     more = _verified(tries, sets, share).groupBy("cls").agg(F.min("other").alias("other"))
-    return classes, saved(done.union(more), "removed")
+    matched = saved(done.union(more), "matched")
+    drop_saved(posts, earliest, rest, sets, near)
+    return classes, matched
 
 
 def removals(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5) -> DataFrame:
@@ -166,11 +172,16 @@ def removals(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5) ->
     lines = saved(lines_of(docs, share, width), "lines")
     classes, matched = later_matches(docs, lines, share, width)
     gone = classes.join(matched.select(F.col("cls").alias("m")), F.col("cls") == F.col("m"), "left")
-    gone = saved(gone.select(F.col("cls").alias("c"), "first", F.col("m").isNotNull().alias("gone"), "copies"), "verdicts")
+    gone = saved(gone.select(F.col("cls").alias("c"), "first", F.col("m").isNotNull().alias("gone")), "verdicts")
+    drop_saved(classes)
+    free_shuffles(docs.sparkSession)
     own = F.struct("doc_id", "key", "line")
     judged = lines.select("doc_id", "key", "line", "cls").join(gone, F.col("cls") == F.col("c"))
     judged = judged.withColumn("out", F.col("gone") | ~own.eqNullSafe(F.col("first")))
     out = judged.groupBy("doc_id", "key").agg(F.size(F.collect_set("line")).cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed"))
+    out = saved(out, "removals")
+    drop_saved(lines, gone)
+    free_shuffles(docs.sparkSession)
     return out
 
 
@@ -189,4 +200,4 @@ def apply(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5) -> DataFrame:
-    return apply(docs, saved(removals(docs, share, width), "removals"))
+    return apply(docs, removals(docs, share, width))
