@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_arrow, saved
+from lodestar.llm.common import drop_saved, free_shuffles, map_arrow, saved
 from lodestar.llm.components import connected_components
 from lodestar.llm.shingles import set_class, shingle_set
 from lodestar.llm.tooccurrence import connect
@@ -333,12 +333,14 @@ def find_links(records: DataFrame, share: tuple[int, int] = SHARE, block: int =
     first = own.withColumns({"task": F.xxhash64("nb", dice), "side": F.lit(2), "label": F.col("cls")})
     links = saved(_search(first, share), "links")
     if sizes.isEmpty():
+        drop_saved(own)
         return links
 
     # Neighbourhoods of several blocks. Representatives of what is connected so far: those of the
     # larger components meet each other first.
     big = own.filter("size is not null")
     big = saved(_labelled(big, links), "big")
+    drop_saved(own)
     weights = saved(big.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("weight")), "weights")
     heads = big.filter("cls = label").join(weights, F.col("label") == F.col("l")).withColumn("heavy", F.col("weight") >= 4)
     n_heads = saved(heads.groupBy(F.col("nb").alias("b"), F.col("heavy").alias("h")).agg(F.count("*").alias("heads")), "heads")
@@ -370,7 +372,9 @@ def find_links(records: DataFrame, share: tuple[int, int] = SHARE, block: int =
     )
     to = saved(to, "pairs")
     spread = big.withColumn("block", F.xxhash64("nb", "whole", "at")).join(to, F.col("block") == F.col("k"))
-    return saved(links.union(_search(spread, share)), "links")
+    links = saved(links.union(_search(spread, share)), "links")
+    drop_saved(big, to)
+    return links
 
 
 # --- 5: documents ---
@@ -385,7 +389,10 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5, block:
     parts, places = max(least, -(-total // PART)), max(least, -(-total // (4 * PART)))
     shared = _shared_tokens(_token_blobs(docs, parts, width), parts, places)
     records = saved(_records(shared.union(_class_blobs(sets, places)), places, share), "records")
+    free_shuffles(spark)
     links = find_links(records, share, block)
+    drop_saved(records)
+    free_shuffles(spark)
 
     label = connected_components(links).select(F.col("node").alias("__n"), F.col("label").alias("__l"))
     classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
@@ -399,6 +406,8 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5, block:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that name their component: one of each group, all columns as they were."""
-    kept = saved(join(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """The documents that name their component: one of each group, all columns as they were. The
+    join is with the others' ids, which are the fewer where copies are the exception."""
+    gone = join(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = saved(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
