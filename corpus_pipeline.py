@@ -7,7 +7,6 @@ stage but the last returns the columns of ``documents``; the last returns the pa
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestar.llm import apportionment, line_dedup, ngram_join, packing, quality_rules
 from lodestar.llm.common import saved
@@ -35,14 +34,8 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, to the nearest whole time: none, once or twice.
-
-    Shares are met in words by whole shards; in each shard at most one document is taken in part."""
-    sizes = apportionment.sized(docs)
-    taken = apportionment.mix(sizes).filter("size > 0").select("doc_id", "source", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-    taken = saved(taken.filter("times > 0").groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s")).agg(F.max("times").alias("times")), "taken")
-    df = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")))
-    return df.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """Documents as often as the mix takes them, to the nearest whole time: none, once or twice."""
+    return apportionment.repeat(docs.select(*COLUMNS))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, words
+from lodestar.llm.common import SPACES, saved, text_of, words
 
 #: Words of a block, of a shard (about), and buckets of a source.
 BLOCK, SHARD, BUCKETS = 32, 100_000, 1024
@@ -78,29 +78,61 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
 
 
-def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, passes: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
-    """(doc_id, source, size) -> doc_id, source, size, source_size, target, blocks (of its shard), taken."""
+def _dealt(docs: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+    """docs (with doc_id and source) with their bucket, shard and place in it. goals has a row for each source."""
+    goal = goals.select(F.col("source").alias("__source"), "source_size", "target", "source_blocks", F.greatest("buckets", F.lit(1)).alias("buckets"), F.greatest("shards", F.lit(1)).alias("shards"))
+    dealt = docs.join(goal, F.col("source").eqNullSafe(F.col("__source")))
+    return dealt.withColumns({"__bucket": _dice(seed, 1) % F.col("buckets"), "__shard": _dice(seed, 9) % F.col("shards"), "__dice": _dice(seed, 17)})
+
+
+def _same_shard() -> Column:
+    return F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")) & (F.col("__shard") == F.col("__h"))
+
+
+def _placed(sizes: DataFrame, weights, budget, passes, block, shard, seed) -> tuple[DataFrame, DataFrame]:
+    """sizes with start (words before it in its shard), whole (passes over the shard) and rest
+    (words taken beyond them); and the goals of the sources."""
     sizes = saved(sizes.select("doc_id", "source", "size"), "sizes")
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(by_source, weights, budget, passes)
     total = F.floor(F.sum("target").over(W.partitionBy(F.lit(0))) / block + 0.5).cast("long")
     goals = sainte_lague(goals.withColumn("all_blocks", total), [], ["source"], "target", "all_blocks", "source_blocks")
-    goals = saved(goals.withColumn("shards", F.ceil(F.col("source_size") / F.lit(shard * BUCKETS)).cast("long")).withColumn("buckets", F.least(F.lit(BUCKETS).cast("long"), F.ceil(F.col("source_size") / F.lit(shard)).cast("long"))), "goals")
-
-    goal = goals.select(F.col("source").alias("__source"), "source_size", "target", "source_blocks", F.greatest("buckets", F.lit(1)).alias("buckets"), F.greatest("shards", F.lit(1)).alias("shards"))
-    dealt = sizes.join(goal, F.col("source").eqNullSafe(F.col("__source"))).withColumns({"bucket": _dice(seed, 1) % F.col("buckets"), "shard": _dice(seed, 9) % F.col("shards"), "dice": _dice(seed, 17)})
-    shards = dealt.groupBy("__source", "bucket", "shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
-    buckets = shards.groupBy("__source", "bucket", "source_blocks").agg(F.sum("shard_size").alias("bucket_size"))
-    buckets = sainte_lague(buckets, ["__source"], ["bucket"], "bucket_size", "source_blocks", "bucket_blocks")
-    shards = shards.drop("source_blocks").join(buckets.select(F.col("__source").alias("__s"), F.col("bucket").alias("__b"), "bucket_blocks"), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b"))).drop("__s", "__b")
-    shards = sainte_lague(shards, ["__source", "bucket"], ["shard"], "shard_size", "bucket_blocks", "blocks")
-    quotas = saved(shards.select(F.col("__source").alias("__s"), F.col("bucket").alias("__b"), F.col("shard").alias("__h"), "shard_size", "blocks"), "quotas")
-
-    at = W.partitionBy("__source", "bucket", "shard").orderBy("dice", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(at), F.lit(0).cast("long")))
-    placed = placed.join(quotas, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")) & (F.col("shard") == F.col("__h")))
+    goals = saved(goals.withColumns({"shards": F.ceil(F.col("source_size") / F.lit(shard * BUCKETS)).cast("long"), "buckets": F.least(F.lit(BUCKETS).cast("long"), F.ceil(F.col("source_size") / F.lit(shard)).cast("long"))}), "goals")
+
+    dealt = _dealt(sizes, goals, seed)
+    shards = dealt.groupBy("__source", "__bucket", "__shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
+    buckets = shards.groupBy("__source", "__bucket", "source_blocks").agg(F.sum("shard_size").alias("bucket_size"))
+    buckets = sainte_lague(buckets, ["__source"], ["__bucket"], "bucket_size", "source_blocks", "bucket_blocks")
+    buckets = buckets.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "bucket_blocks")
+    shards = shards.drop("source_blocks").join(buckets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))).drop("__s", "__b")
+    shards = sainte_lague(shards, ["__source", "__bucket"], ["__shard"], "shard_size", "bucket_blocks", "blocks")
+    quotas = saved(shards.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.col("__shard").alias("__h"), "shard_size", "blocks"), "quotas")
+
+    at = W.partitionBy("__source", "__bucket", "__shard").orderBy("__dice", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(at), F.lit(0).cast("long"))).join(quotas, _same_shard())
     quota = F.least(F.col("blocks") * block, F.col("shard_size") * passes)
-    whole = F.when(F.col("shard_size") > 0, F.floor(quota / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    rest = quota - whole * F.col("shard_size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
+    placed = placed.withColumn("whole", F.when(F.col("shard_size") > 0, F.floor(quota / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
+    return placed.withColumn("rest", quota - F.col("whole") * F.col("shard_size")), goals
+
+
+def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, passes: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
+    """(doc_id, source, size) -> doc_id, source, size, source_size, target, blocks (of its shard), taken."""
+    placed, _ = _placed(sizes, weights, budget, passes, block, shard, seed)
+    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start")))
     return placed.select("doc_id", "source", "size", "source_size", "target", "blocks", taken.cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, passes: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
+    """docs as often as the mix takes them, to the nearest whole time; those without words go.
+
+    A shard's rest ends at one place in its seeded order, so a table with a row for each shard (one
+    for about ``shard`` words) tells every document its number; texts need not move for it."""
+    placed, goals = _placed(sized(docs), weights, budget, passes, block, shard, seed)
+    once_more = (F.col("size") > 0) & (2 * F.col("start") + F.col("size") <= 2 * F.col("rest"))
+    cuts = placed.groupBy("__source", "__bucket", "__shard").agg(F.max("whole").alias("whole"), F.max(F.when(once_more, F.struct("__dice", "doc_id"))).alias("cut"))
+    cuts = saved(cuts.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.col("__shard").alias("__h"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut")), "cuts")
+    own = docs.filter(F.btrim(text_of(F.col("text")), F.lit(SPACES)) != "").select(F.struct(*docs.columns).alias("__row"), "doc_id", "source")
+    df = _dealt(own, goals, seed).join(cuts, _same_shard())
+    more = F.coalesce(F.struct("__dice", "doc_id") <= F.col("__cut"), F.lit(False))
+    df = df.withColumn("__times", (F.col("__whole") + more.cast("long")).cast("int")).filter("__times > 0")
+    return df.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
