@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -97,4 +98,6 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of stages that nothing refers to any more. It
     acts when the driver collects garbage, which else may be long after the disks are full."""
     gc.collect()
+    time.sleep(0.1)  # the driver's Python tells the JVM what it has dropped
     spark._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works in the background
