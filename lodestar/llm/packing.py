@@ -242,7 +242,7 @@ def plan(histogram: dict[int, int], cap: Capacity) -> tuple[list[Run], int]:
 
 # --- placing ---
 
-CHUNK = 1024  # pieces of one length that are ranked together, about
+CHUNK = 256  # pieces of one length that are ranked together, about
 
 
 def pack(items: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
