@@ -79,7 +79,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     computed once however often it is read. The files live until drop_saved() or with the folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.select("*").write.parquet(path)  # a frame of its own, so that df does not hold on to the shuffles
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
@@ -97,7 +97,8 @@ def drop_saved(*frames: DataFrame) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of stages that nothing refers to any more. It
     acts when the driver collects garbage, which else may be long after the disks are full."""
-    gc.collect()
-    time.sleep(0.1)  # the driver's Python tells the JVM what it has dropped
-    spark._jvm.System.gc()
-    time.sleep(0.3)  # the cleaner works in the background
+    for _ in range(2):  # what the first round drops may hold what the second can drop
+        gc.collect()
+        time.sleep(0.1)  # the driver's Python tells the JVM what it has dropped
+        spark._jvm.System.gc()
+        time.sleep(0.2)  # the cleaner works in the background
