@@ -4,7 +4,8 @@ A host's share of good pages is estimated by shrinking its labelled outcomes tow
 registered domain, that towards its suffix, and that towards all hosts. At each level the strength
 of the beta prior is the one at which the beta-binomial variance between the children equals the
 variance seen (method of moments). A page passes if the lower bound of its host's posterior
-(mean less z standard deviations) reaches ``least``.
+(mean less z standard deviations) reaches ``least``. A host without outcomes has the mean of its
+registered domain, one whose domain has none that of its suffix, and else that of all hosts.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Registered
 domain: its last two labels; suffix: its last label (no list of public suffixes is consulted).
@@ -79,10 +80,11 @@ def strength(children: DataFrame) -> float:
     return min(STRONGEST, max(WEAKEST, within / between - 1)) if between > 0 else STRONGEST
 
 
-def reputation(outcomes: DataFrame, default_good: float = 0.5, z: float = 1.645) -> tuple[DataFrame, float]:
-    """outcomes (host, good 0/1) -> a row for each host: host, n, k, mean, bound; and the bound of
-    a host that was never seen. Only aggregates travel; joins are by size, with skew left to AQE,
-    since both sides of each are read from files."""
+def reputation(outcomes: DataFrame, default_good: float = 0.5, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """outcomes (host, good 0/1) -> a row for each host: host, n, k, mean, bound; and the bounds of
+    a host that was never seen: (domain, bound), (suffix, bound), and where neither was seen. Only
+    aggregates travel; joins are by size, with skew left to AQE, since both sides of each are read
+    from files."""
     hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
     hosts = saved(hosts.withColumns(_levels(F.col("host"))), "hosts")
     domains = saved(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
@@ -94,23 +96,32 @@ def reputation(outcomes: DataFrame, default_good: float = 0.5, z: float = 1.645)
     def shrunk(k: Column, n: Column, to: Column | float, by: float) -> Column:
         return (k + F.lit(by) * to) / (n + F.lit(by))
 
-    tops = suffixes.select(F.col("suffix").alias("s"), shrunk(F.col("k"), F.col("n"), F.lit(overall), of_all).alias("up"))
+    def bound(mean: Column, weight: Column) -> Column:
+        return mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (weight + 1))
+
+    tops = saved(suffixes.select(F.col("suffix").alias("s"), shrunk(F.col("k"), F.col("n"), F.lit(overall), of_all).alias("up")), "suffix-means")
     middle = domains.join(tops, F.col("suffix") == F.col("s"))
     middle = saved(middle.select(F.col("domain").alias("d"), shrunk(F.col("k"), F.col("n"), F.col("up"), of_suffix).alias("up")), "domain-means")
     out = hosts.join(middle, F.col("domain") == F.col("d"))
     mean, weight = shrunk(F.col("k"), F.col("n"), F.col("up"), of_domain), F.col("n") + F.lit(of_domain)
-    out = out.withColumn("mean", mean).withColumn("bound", F.col("mean") - F.lit(z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1)))
+    out = out.withColumn("mean", mean).withColumn("bound", bound(F.col("mean"), weight))
+    of_unseen = bound(F.col("up"), F.lit(of_domain)).alias("bound")
     unseen = overall - z * (overall * (1 - overall) / (of_domain + 1)) ** 0.5
-    return saved(out.select("host", "n", "k", "mean", "bound"), "reputation"), unseen
+    return saved(out.select("host", "n", "k", "mean", "bound"), "reputation"), middle.select(F.col("d").alias("domain"), of_unseen), tops.select(F.col("s").alias("suffix"), of_unseen), unseen
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], least: float = 0.5) -> DataFrame:
     """pages with host, path, rule, verdict, n_outcomes, bound. outcomes: (host, good)."""
-    known, unseen = reputation(outcomes)
-    known = known.select(F.col("host").alias("__host"), F.col("n").alias("__n"), F.col("bound").alias("__bound"))
+    known, domains, suffixes, unseen = reputation(outcomes)
     df = parsed(pages)
+    # back-off is worked out once for each host, so the pages meet one table only
+    hosts = df.select(F.col("host").alias("__host")).distinct().withColumns(_levels(F.col("__host")))
+    hosts = hosts.join(known.select("host", "n", F.col("bound").alias("own")), F.col("__host") == F.col("host"), "left")
+    hosts = hosts.join(domains.select(F.col("domain").alias("d"), F.col("bound").alias("of_domain")), F.col("domain") == F.col("d"), "left")
+    hosts = hosts.join(suffixes.select(F.col("suffix").alias("s"), F.col("bound").alias("of_suffix")), F.col("suffix") == F.col("s"), "left")
+    found = F.coalesce("own", "of_domain", "of_suffix", F.lit(float(unseen)))
+    hosts = saved(hosts.select("__host", F.coalesce("n", F.lit(0).cast("long")).alias("__n"), found.alias("__bound")), "host-bounds")
     pattern, action = rule_for(F.col("host"), F.col("path"), rules)
-    joined = df.withColumns({"rule": pattern, "__action": action}).join(known, F.col("host") == F.col("__host"), "left")
-    bound = F.coalesce(F.col("__bound"), F.lit(float(unseen)))
-    own = F.when(bound >= least, F.lit("allow")).otherwise(F.lit("block"))
-    return joined.withColumns({"verdict": F.coalesce(F.col("__action"), own), "n_outcomes": F.coalesce(F.col("__n"), F.lit(0).cast("long")), "bound": bound}).drop("__host", "__n", "__bound", "__action")
+    joined = df.withColumns({"rule": pattern, "__action": action}).join(hosts, F.col("host") == F.col("__host"), "left")
+    own = F.when(F.col("__bound") >= least, F.lit("allow")).otherwise(F.lit("block"))
+    return joined.withColumns({"verdict": F.coalesce(F.col("__action"), own), "n_outcomes": F.col("__n"), "bound": F.col("__bound")}).drop("__host", "__n", "__bound", "__action")

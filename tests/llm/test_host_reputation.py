@@ -41,6 +41,18 @@ def test_good_hosts_pass_and_bad_ones_do_not(spark):
     assert table["good.a.com"]["n"] == 200
 
 
+def test_unseen_hosts_are_judged_by_their_domain_then_their_suffix(spark):
+    rows = [(f"{k}.good.com", 1) for k in range(9) for _ in range(60)] + [(f"{k}.bad.com", 0) for k in range(9) for _ in range(60)]
+    rows += [(f"h.{k}.fine", 1) for k in range(9) for _ in range(60)] + [(f"h.{k}.poor", 0) for k in range(9) for _ in range(60)]
+    outcomes = spark.createDataFrame(rows, "host string, good int")
+    hosts = {"new.good.com": "allow", "new.bad.com": "block", "new.new.fine": "allow", "new.new.poor": "block"}
+    pages = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate([*hosts, "0.good.com"])], "page_id long, url string")
+    got = {r["host"]: r for r in judge(pages, outcomes, []).collect()}
+    assert {h: got[h]["verdict"] for h in hosts} == hosts
+    assert {got[h]["n_outcomes"] for h in hosts} == {0} and got["0.good.com"]["n_outcomes"] == 60
+    assert got["new.bad.com"]["bound"] < got["new.good.com"]["bound"] < got["0.good.com"]["bound"]
+
+
 def test_ties_go_to_the_longer_rule_then_by_text(spark):
     pages = spark.createDataFrame([(1, "http://a.b.c/x/y")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, good int")
