@@ -54,18 +54,19 @@ def _rows(schema: str, *columns) -> pa.RecordBatch:
 
 # --- 1: sets ---
 
-SETS = "doc_id long, n int, cls long"
+SETS = "doc_id long, n int, cls long, hash long"
 
 
 def document_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, size of the set, class) of every document; the class of an empty set is null."""
+    """(doc_id, size of the set, class, hash of the text) of every document; the class of an empty
+    set is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), width) for t in b.column(1)]
-            yield _rows(SETS, b.column(0), [len(s) for s in sets], [set_class(s) if len(s) else None for s in sets])
+            yield _rows(SETS, b.column(0), [len(s) for s in sets], [set_class(s) if len(s) else None for s in sets], b.column(2))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SETS)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")), run, SETS)
 
 
 # --- 2: rarity, on packed arrays ---
@@ -381,7 +382,8 @@ def find_links(records: DataFrame, share: tuple[int, int] = SHARE, block: int =
 
 
 def join(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5, block: int = 200) -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls): component_id is the least doc_id that links reach."""
+    """(doc_id, n_shingles, component_id, cls, hash, grp): component_id is the least doc_id that links
+    reach; hash is of the text; grp is the same for rows that links reach, null for those without."""
     spark = docs.sparkSession
     sets = saved(document_sets(docs, width), "sets")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
@@ -399,15 +401,29 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5, block:
     classes = classes.join(label, F.col("cls") == F.col("__n"), "left").filter("copies > 1 or __l is not null")
     classes = saved(classes.select("cls", "first", F.coalesce("__l", "cls").alias("label")), "classes")
     groups = saved(classes.groupBy(F.col("label").alias("g")).agg(F.min("first").alias("component")), "groups")
-    named = classes.join(groups, F.col("label") == F.col("g")).select(F.col("cls").alias("__c"), "component")
+    named = classes.join(groups, F.col("label") == F.col("g")).select(F.col("cls").alias("__c"), "component", F.col("label").alias("grp"))
     named = saved(named, "named")
     out = sets.join(named, F.col("cls") == F.col("__c"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "cls")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "cls", "hash", "grp")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that name their component: one of each group, all columns as they were. The
-    join is with the others' ids, which are the fewer where copies are the exception."""
-    gone = join(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = saved(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One document of each group of linked documents, all columns as they were: the row of least id,
+    null ids last, then of least hash of its text, then of least hash of all its columns. Rows go by
+    id and text, so others of the same id stay. The join is with the rows that go, which are the
+    fewer where copies are the exception."""
+    rows = join(docs, **options).filter("grp is not null").groupBy("grp", "doc_id", "hash").agg(F.count("*").alias("times"))
+    rows = saved(rows, "linked")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))
+    firsts = saved(rows.groupBy(F.col("grp").alias("g")).agg(F.min(place).alias("first")), "firsts")
+    rows = rows.join(firsts, F.col("grp") == F.col("g"))
+    gone = rows.filter((place != F.col("first")) | (F.col("times") > 1))
+    gone = saved(gone.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), (place == F.col("first")).alias("__stays")), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = gone.filter("__stays")
+    if repeated.isEmpty():
+        return kept
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.join(repeated, same).groupBy("__id", "__hash").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("__row"))
+    return kept.union(again.select("__row.*"))

@@ -98,6 +98,18 @@ def test_empty_table_clashing_columns_and_repeats(make, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9, 9]
 
 
+def test_keep_one_takes_rows_not_ids(make, prose):
+    """Only linked rows go, whatever else has their id, and one row of each group stays."""
+    a, b, c, d, e, f = (prose(20 + k, 40) for k in range(6))
+    near = a + " more"
+    rows = [(3, a), (9, a), (9, c), (None, a), (None, d), (None, ""), (3, a), (3, near)]  # 3, 9 and null are also ids of other texts
+    rows += [(None, b), (None, b), (None, e), (5, e), (5, e), (3, f), (7, f), (9, None)]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(make(rows)).collect()]
+    alone = [(9, c), (None, d), (None, ""), (9, None), (3, f), (5, e), (None, b)]
+    assert sum(t in (a, near) and i == 3 for i, t in kept) == 1  # the least hash of text decides between rows of the least id
+    assert sorted((x for x in kept if x[1] not in (a, near)), key=repr) == sorted(alone, key=repr) and len(kept) == len(alone) + 1
+
+
 def test_merge_skip_and_divide_skip_equal_counting():
     dice = random.Random(3)
     for _ in range(200):
