@@ -85,7 +85,8 @@ class WordEncoder:
     The tokenizer parts text at white space before anything else and no rule reaches across it, so
     a text's ids are those of its space-separated words in a row; other white space stays inside
     the words for the tokenizer itself to part. It lower-cases, letter by letter; texts within
-    Latin-1, where that has no special cases, are lower-cased beforehand. That holds for the file
+    Latin-1, where that has no special cases, are lower-cased beforehand, but for words with '<|':
+    its added tokens, such as <|endoftext|>, are found in the raw text only. That holds for the file
     word_bpe_49k.json; another file is used as it is (``by_word`` false)."""
 
     def __init__(self, path: str, most: int = 500_000):
@@ -110,10 +111,15 @@ class WordEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         try:
             text.encode("latin-1")
-            text = text.lower()
+            latin = True
         except UnicodeEncodeError:
-            pass
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+            latin = False
+        if latin and "<|" not in text:
+            text, latin = text.lower(), False
+        words = text.replace("\n", " ").split(" ")
+        if latin:
+            words = [w if "<|" in w else w.lower() for w in words]
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]

@@ -32,6 +32,12 @@ def test_words_equal_the_tokenizer(tokenizer):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "É<|StartOfText|>É <|endoftext|> ABC", "A<| |ENDOFTEXT|>\nB <|ENDOFTEXT|>漢"])
+def test_added_tokens_are_found_in_their_own_spelling_only(tokenizer, text):
+    enc = p.WordEncoder(tokenizer_path())
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_are_used_as_they_are():
     from tokenizers import Tokenizer
 
