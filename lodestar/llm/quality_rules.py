@@ -33,6 +33,7 @@ def repeated_words(w: Column) -> Column:
     """Words in windows of three that occur twice or more in the text, the first one included.
 
     Windows are hashed; a sort of (hash, place) packed into one long brings equal ones together.
+    Packing drops bits of the hash; where that makes different hashes equal, structs are sorted.
     The places of repeated windows, sorted, give the covered words: each adds three, less what
     the next one covers as well. Most texts stop at the count of distinct windows.
     """
@@ -40,22 +41,28 @@ def repeated_words(w: Column) -> Column:
 
     def covered(h: Column) -> Column:
         bits = F.length(F.bin(F.size(h).cast("long")))
+        short = F.transform(h, lambda x: F.call_function("shiftleft", x, bits))
         packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
+        whole = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("hash"), i.cast("long").alias("place"))))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
-        def places(p: Column) -> Column:
-            key = lambda at: F.call_function("shiftright", F.get(p, at), bits)
+        def places(p: Column, of, place) -> Column:
+            key = lambda at: of(F.get(p, at))
             hit = F.filter(
                 F.sequence(F.lit(0), F.size(p) - 1),
                 lambda at: ((at > 0) & (key(at - 1) == key(at))) | ((at < F.size(p) - 1) & F.coalesce(key(at + 1) == key(at), F.lit(False))),
             )
-            mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-            return F.sort_array(F.transform(hit, lambda at: F.get(p, at).bitwiseAND(mask)))
+            return F.sort_array(F.transform(hit, lambda at: place(F.get(p, at))))
+
+        by_short = let(packed, lambda p: places(p, lambda x: F.call_function("shiftright", x, bits), lambda x: x.bitwiseAND(mask)))
+        by_whole = let(whole, lambda p: places(p, lambda x: x["hash"], lambda x: x["place"]))
+        found = F.when(F.size(F.array_distinct(short)) == F.size(F.array_distinct(h)), by_short).otherwise(by_whole)
 
         def span(s: Column) -> Column:
             gaps = F.transform(s, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(s, i + 1) - x, F.lit(3).cast("long"))))
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return let(let(packed, places), span)
+        return let(found, span)
 
     zero = F.lit(0).cast("long")
     return F.when(F.size(w) < 4, zero).otherwise(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(covered(h))))

@@ -28,6 +28,13 @@ def test_counts_equal_brute_force(make):
         assert got[i] == plain(t), i
 
 
+def test_windows_are_told_apart_by_whole_hashes(make, monkeypatch):
+    """Hashes that differ in their highest bits only, which packing drops."""
+    monkeypatch.setattr(F, "xxhash64", lambda w: F.call_function("shiftleft", F.element_at(w, 1).cast("long"), F.lit(60)))
+    text = "1 2 3 4 5 6 7 1 2 3"
+    assert q.statistics(make([(1, text)])).first()["n_repeat_words"] == plain(text)[-1] == 6
+
+
 def test_base_rule(make, prose):
     words = prose(1, 60).split()
     rows = [(1, " ".join(words[:49])), (2, " ".join(words[:50])), (3, " ".join(words[:25] * 2)), (4, None)]
