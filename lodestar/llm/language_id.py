@@ -8,7 +8,8 @@ stochastic gradient descent in numpy. As both are linear, their product is one t
 Calibration on rows that training has not seen: a temperature makes the probabilities honest, and
 a threshold rejects predictions below the confidence at which the rest reach ``precision``.
 
-Learning sees at most ``most_rows`` rows, of each at most ``most_chars`` characters; prediction
+Learning sees at most ``most_rows`` rows, shared evenly among the languages as far as they have rows,
+and of each a window of at most ``most_chars`` characters from anywhere in the text; prediction
 always sees whole texts, in pieces of bounded size.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; null languages are not
@@ -140,7 +141,7 @@ def _calibrated(model: Model, rows, place, dice, precision: float) -> Model:
 
 
 def fit(docs: DataFrame, most_rows: int = 6_000, most_chars: int = 4_000) -> Model:
-    return train([(t, str(y), d) for t, y, d in labelled_texts(docs, F.col("lang"), most_rows, most_chars)])
+    return train([(t, str(y), d) for t, y, d in labelled_texts(docs, F.col("lang"), most_rows, most_chars, each=True)])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

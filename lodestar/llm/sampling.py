@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import fold
 
 
-def labelled_texts(docs: DataFrame, label: Column, most_rows: int, most_chars: int, labels: DataFrame | None = None) -> list[tuple[str, object, int]]:
+def labelled_texts(docs: DataFrame, label: Column, most_rows: int, most_chars: int, labels: DataFrame | None = None, each: bool = False) -> list[tuple[str, object, int]]:
     """(text, label, dice) of the learnable rows of least hash: at most most_rows of them, of each
     text at most most_chars characters, so what reaches the driver is bounded by their product.
 
     Learnable: text and label are not null and the id is not in the held-out fold. dice is a hash of
-    the id for splitting the sample. With labels, the label is one of its columns."""
+    the id for splitting the sample. With labels, the label is one of its columns.
+
+    each: the hash counts as a place among the rows of its label, so labels have equal shares as far
+    as they have rows, rare ones whole; and a text is a window from anywhere, not its start."""
     source = docs if labels is None else labels.dropDuplicates(["doc_id"])
-    ids = (
-        source.filter(F.col("doc_id").isNotNull() & label.isNotNull() & (fold(F.col("doc_id")) != 2))
-        .select("doc_id", label.alias("__label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "__label")
-        .limit(most_rows)
-    )
-    texts = docs.select("doc_id", F.substring("text", 1, most_chars).alias("__text")).filter(F.col("__text").isNotNull())
+    ids = source.filter(F.col("doc_id").isNotNull() & label.isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", label.alias("__label"))
+    place, start = F.xxhash64("doc_id"), F.lit(1)
+    if each:
+        counts = ids.groupBy(F.col("__label").alias("__l")).agg(F.count("*").alias("__n"))
+        ids = ids.join(F.broadcast(counts), F.col("__label") == F.col("__l"))
+        place = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("__n")
+        start = (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.lit(1), F.length("text") - most_chars + 1)) + 1).cast("int")
+    ids = ids.orderBy(place, F.xxhash64("doc_id"), "doc_id", "__label").limit(most_rows).select("doc_id", "__label")
+    texts = docs.select("doc_id", F.substring(F.col("text"), start, F.lit(most_chars)).alias("__text")).filter(F.col("__text").isNotNull())
     rows = texts.join(F.broadcast(ids), "doc_id").select("__text", "__label", (F.xxhash64("doc_id", F.lit(11)) % 1000003).alias("d"), "doc_id").collect()
     return [(r[0], r[1], abs(r[2])) for r in sorted(rows, key=lambda r: (r[2], r[3], r[0]))]

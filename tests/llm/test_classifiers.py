@@ -71,3 +71,14 @@ def test_pieces_do_not_change_a_prediction(prose):
     assert len(long) > lang.PIECE and model.predict(long)[0] == "en"
     with pytest.raises(TypeError):
         lang.Model()
+
+
+def test_rare_languages_and_all_parts_of_texts_are_learned_from(make, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lang, "train", seen.extend)
+    rows = [(k, "start " + "a" * 500 + " rest " + "b" * 500, "en") for k in range(2000)] + [(5000 + k, "short text", "xx") for k in range(8)]
+    lang.fit(make(rows), most_rows=60, most_chars=100)
+    learnable = [k for k in range(8) if zlib.crc32(str(5000 + k).encode()) % 4 != 2]
+    assert len(seen) == 60 and sum(y == "xx" for _, y, _ in seen) == len(learnable) > 0
+    assert all(t == "short text" for t, y, _ in seen if y == "xx") and all(len(t) == 100 for t, y, _ in seen if y == "en")
+    assert any("b" * 50 in t for t, _, _ in seen) and any("a" * 50 in t for t, _, _ in seen)
