@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,49 @@ def condition(attribute: Attribute, predicate: Predicate, column: Column | None
     raise PlanError(f"unsupported operator {predicate.op}")
 
 
+_MONTHS = {date(2000, k, 1).strftime("%b"): k for k in range(1, 13)}
+
+
+def _period(name: str, value) -> tuple[date, date] | None:
+    """[first, end) of the days that this member of a calendar level holds; null if it is none."""
+    text = str(value)
+    if name == "D_YEARMONTH" and text[:3] in _MONTHS and text[3:].isdigit():
+        name, text = "D_YEARMONTHNUM", f"{text[3:]}{_MONTHS[text[:3]]:02}"
+    try:
+        if name == "D_YEAR":
+            return date(int(text), 1, 1), date(int(text) + 1, 1, 1)
+        if name == "D_YEARMONTHNUM":
+            year, month = divmod(int(text), 100)
+            return date(year, month, 1), date(year + month // 12, month % 12 + 1, 1)
+        if name in ("D_DATEKEY", "LO_ORDERDATE"):
+            day = date(int(text) // 10000, int(text) // 100 % 100, int(text) % 100)
+            return day, date.fromordinal(day.toordinal() + 1)
+    except (ValueError, OverflowError):
+        pass
+    return None
+
+
+def date_span(predicate: Predicate) -> tuple[date, date] | None:
+    """[first, end) that a condition on a calendar level implies for the day, if it implies one."""
+    name = predicate.attribute.upper()
+    spans = [_period(name, v) for v in predicate.values]
+    if None in spans or (name == "D_YEARMONTH" and predicate.op not in (Op.EQ, Op.IN)):
+        return None
+    first, end = min(s[0] for s in spans), max(s[1] for s in spans)
+    match predicate.op:
+        case Op.EQ | Op.IN | Op.BETWEEN:
+            return first, end
+        case Op.LT:
+            return date.min, first
+        case Op.LE:
+            return date.min, end
+        case Op.GT:
+            return end, date.max
+        case Op.GE:
+            return first, date.max
+    return None
+
+
 def where(df: DataFrame, conditions: list[Column]) -> DataFrame:
     """One filter with all conditions, which Catalyst splits and pushes down."""
     return df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else df

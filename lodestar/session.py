@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", app: str = "lodestar", **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "5g"),
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # a call to the JVM less for every expression
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -2,13 +2,17 @@
 
 Only tables that hold a needed column are joined, so a query on discounts and dates reads neither
 parts nor their prices. This relies on every line having its order and its part, as a star's
-foreign keys do. Dimensions are flattened to the highest level asked for and no higher.
+foreign keys do. Lines and orders are offered apart, so that dates and customers can cut the orders
+before the lines meet them. Dimensions are flattened to the highest level asked for and no higher.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.functions import calendar, cents, city_name, ingest_date
 from lodestar.operators.joins import lookup
@@ -16,8 +20,12 @@ from lodestar.plans.hierarchy import Hierarchy
 from lodestar.plans.model import PlanError
 
 _DATE = ("D_DATEKEY", "D_YEAR", "D_YEARMONTHNUM", "D_YEARMONTH", "D_WEEKNUMINYEAR")
-_FROM_ORDERS = {"LO_CUSTKEY", "LO_ORDERDATE", *_DATE}
-_FROM_PART = {"LO_SUPPLYCOST"}
+#: Columns of LINEORDER that orders and parts hold.
+FROM_ORDERS = {"LO_CUSTKEY", "LO_ORDERDATE", *_DATE}
+FROM_PART = {"LO_SUPPLYCOST"}
+
+#: Schemas by path and time of change: reading one from the files takes a job, every time.
+_schemas: dict[tuple, StructType] = {}
 
 
 class StarCatalog:
@@ -25,15 +33,25 @@ class StarCatalog:
         self.spark, self.base, self.hierarchy = spark, base.rstrip("/"), hierarchy or Hierarchy.load()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}.parquet")
+        path = f"{self.base}/{name}.parquet"
+        version = (path, self._changed(path))
+        if None in version or version not in _schemas:
+            _schemas[version] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[version]).parquet(path)
 
-    def fact(self, columns: set[str] | None = None) -> DataFrame:
-        """LINEORDER with the columns asked for (all of them by default)."""
-        every = [c for c, a in self.hierarchy.attributes.items() if a.dimension == self.hierarchy.fact["table"]]
-        columns = set(every) if columns is None else {self.hierarchy.resolve(c).name for c in columns}
-        df = self.table("lineitem")
+    def _changed(self, path: str) -> int | None:
+        """When the files at a path were last changed; null where that cannot be told."""
+        try:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+        except AttributeError:  # a session without a JVM at hand
+            return None
+
+    def lines(self, columns: set[str], order_key: bool = False) -> DataFrame:
+        """The columns of LINEORDER that lines hold; with __order, the key of the line's order."""
         off, price = F.round(F.col("l_discount") * 100).cast("int"), cents(F.col("l_extendedprice"))
         made = {
+            "__order": F.col("l_orderkey"),
             "LO_ORDERKEY": F.col("l_orderkey"),
             "LO_LINENUMBER": F.col("l_linenumber"),
             "LO_PARTKEY": F.col("l_partkey"),
@@ -43,19 +61,44 @@ class StarCatalog:
             "LO_EXTENDEDPRICE": price,
             "LO_REVENUE": F.floor(price * (100 - off) / 100).cast("long"),
         }
-        if columns & _FROM_ORDERS:
-            orders = self.table("orders")
-            day = F.col("o_orderdate")
-            df = lookup(df, orders, df["l_orderkey"] == orders["o_orderkey"])
-            made |= {"LO_CUSTKEY": F.col("o_custkey"), "LO_ORDERDATE": ingest_date(day)} | calendar(day)
-        if columns & _FROM_PART:
-            part = self.table("part").select("p_partkey", "p_retailprice")
-            df = lookup(df, part, df["l_partkey"] == part["p_partkey"])
-            made["LO_SUPPLYCOST"] = F.floor(6 * cents(F.col("p_retailprice")) / 10).cast("long")
-        return df.select(*[made[c].alias(c) for c in [*every, *_DATE] if c in columns])
+        return self.table("lineitem").select(*[c.alias(name) for name, c in made.items() if name in columns or (name == "__order" and order_key)])
+
+    def orders(self, columns: set[str], between: list[tuple[date, date]] = ()) -> DataFrame:
+        """(__key, ...): the columns of LINEORDER and the calendar that orders hold. between: spans
+        [first, end) that the order date lies in, as comparisons that reach the scan."""
+        df = self.table("orders")
+        kind = dict(df.dtypes)["o_orderdate"]
+        for first, end in between:
+            df = df.filter((F.col("o_orderdate") >= F.lit(first.isoformat()).cast(kind)) & (F.col("o_orderdate") < F.lit(end.isoformat()).cast(kind)))
+        day = F.col("o_orderdate")
+        made = {"LO_CUSTKEY": F.col("o_custkey"), "LO_ORDERDATE": ingest_date(day)} | calendar(day)
+        return df.select(F.col("o_orderkey").alias("__key"), *[c.alias(name) for name, c in made.items() if name in columns])
+
+    def fact(self, columns: set[str] | None = None) -> DataFrame:
+        """LINEORDER with the columns asked for (all of them by default)."""
+        every = [c for c, a in self.hierarchy.attributes.items() if a.dimension == self.hierarchy.fact["table"]]
+        columns = set(every) if columns is None else {self.hierarchy.resolve(c).name for c in columns}
+        df = self.lines(columns | ({"LO_PARTKEY"} if columns & FROM_PART else set()), bool(columns & FROM_ORDERS))
+        if columns & FROM_ORDERS:
+            orders = self.orders(columns)
+            df = lookup(df, orders, df["__order"] == orders["__key"])
+        if columns & FROM_PART:
+            part = self.dimension("PART", FROM_PART)
+            df = lookup(df, part, df["LO_PARTKEY"] == part["P_PARTKEY"])
+        return df.select(*[c for c in [*every, *_DATE] if c in columns])
+
+    def small(self, name: str) -> bool:
+        """Whether a dimension's base table, grown by four for the names that flattening adds, is
+        within the session's limit for broadcasts. By the size of its files; unknown counts as no."""
+        try:
+            scan = self.table(name.lower())._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+            return 4 * int(str(scan)) <= self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        except AttributeError:  # a session without a JVM at hand
+            return False
 
     def dimension(self, name: str, attributes: set[str] | None = None) -> DataFrame:
-        """A dimension with its key and the attributes asked for (all of them by default)."""
+        """A dimension with its key and the attributes asked for (all of them by default). PART can
+        give LO_SUPPLYCOST too, so that a query on both reads the table once."""
         h = self.hierarchy
         attributes = {a for a, x in h.attributes.items() if x.dimension == name} if attributes is None else attributes
         height = max([h.depth(a) for a in attributes], default=0)
@@ -77,7 +120,8 @@ class StarCatalog:
             mfgr = F.concat(F.lit("MFGR#"), (F.floor((n - 1) / 5) + 1).cast("string"))
             category = F.concat(mfgr, ((n - 1) % 5 + 1).cast("string"))
             brand = F.concat(category, ((F.col("p_size") - 1) % 40 + 1).cast("string"))
-            made = {"P_PARTKEY": F.col("p_partkey"), "P_MFGR": mfgr, "P_CATEGORY": category, "P_BRAND1": brand}
+            cost = F.floor(6 * cents(F.col("p_retailprice")) / 10).cast("long")
+            made = {"P_PARTKEY": F.col("p_partkey"), "P_MFGR": mfgr, "P_CATEGORY": category, "P_BRAND1": brand, "LO_SUPPLYCOST": cost}
         elif name == "DATE":
             base = self.table("orders").select("o_orderdate").distinct()
             made = calendar(F.col("o_orderdate"))

@@ -1,8 +1,11 @@
 import json
+import re
+from datetime import date
 
 import pytest
 
 from lodestar.cli import main
+from lodestar.operators.predicates import date_span
 from lodestar.plans.compiler import compile_plan
 from lodestar.plans.hierarchy import Hierarchy
 from lodestar.plans.model import Op, PlanError
@@ -102,6 +105,45 @@ def test_plan_prunes_columns_and_tables_and_pushes_filters(spark, data):
     assert "EqualTo(r_name,ASIA)" in text and "BroadcastHashJoin" in text
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_dimensions_cut_lines_and_orders_before_these_meet(spark, data):
+    star = StarCatalog(spark, f"{data}/sf0.01")
+    for name in ("q4_1", "q3_1"):
+        text = final_plan(compile_plan(star, parse_query(name)))
+        depth = {k: next(len(line) - len(line.lstrip(" :+-")) for line in text.splitlines() if k in line) for k in ("l_orderkey#", "[__order#", "[LO_SUPPKEY#", "[LO_CUSTKEY#") if k in text}
+        # deeper in the tree: earlier
+        assert depth["[LO_SUPPKEY#"] > depth["[__order#"] and depth["[LO_CUSTKEY#"] > depth["[__order#"], text
+        assert "hashpartitioning(LO_SUPPKEY" not in text and "hashpartitioning(LO_CUSTKEY" not in text
+        assert text.count("part.parquet") <= 1
+
+
+def test_date_filters_reach_the_scan_as_bounds(spark, data):
+    star = StarCatalog(spark, f"{data}/sf0.001")
+    for name, first, end in (("q3_1", "1995-01-01", "2001-01-01"), ("q1_2", "1997-01-01", "1997-02-01"), ("q3_4", "1997-12-01", "1998-01-01")):
+        text = re.sub(r"#\d+", "#{}", physical(compile_plan(star, parse_query(name))))
+        assert f"(o_orderdate#{{}} >= {first} 00:00:00)" in text and f"(o_orderdate#{{}} < {end} 00:00:00)" in text
+    spans = lambda *f: date_span(parse_query(_doc([("DATE", None, f)])).steps[0].filters[0])
+    assert spans("D_YEARMONTHNUM", ">", 199712) == (date(1998, 1, 1), date.max)
+    assert spans("D_DATEKEY", "<=", 19970228) == (date.min, date(1997, 3, 1))
+    assert spans("D_YEARMONTH", "<", "Dec1997") is None and spans("D_WEEKNUMINYEAR", "=", 6) is None
+    assert spans("D_YEAR", "=", 99999) is None and spans("D_YEARMONTH", "=", "Xyz1997") is None
+
+
+def test_large_dimensions_are_not_broadcast_by_hint(spark, data):
+    star = StarCatalog(spark, f"{data}/sf0.001")
+    assert star.small("supplier")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert not star.small("supplier")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_command_line(data, capsys, spark):
     assert main(["q4_1", "--data", f"{data}/sf0.001", "--explain"]) == 0
     out = capsys.readouterr().out
