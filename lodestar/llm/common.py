@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -63,12 +64,15 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none, as in tests,
-    a local one is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local
+    session, whose executors share the driver's disk, gets one of its own where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

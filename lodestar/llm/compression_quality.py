@@ -1,17 +1,16 @@
 """Quality classifier by compression: a text resembles what compresses it better.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled text. A text is
-compressed whole with each; the difference of the compressed sizes over their sum says which kind
-it resembles, and a logistic curve over that difference, with the compression ratio and length as
-context, turns it into a probability. The curve is fitted on labelled rows that the dictionaries
-have not seen.
+compressed whole with each; the difference of the compressed sizes over the text's own size says
+which kind it resembles. A rising curve over that difference alone turns it into a probability; it
+is fitted by isotonic regression on labelled rows that the dictionaries have not seen.
 
-Learning sees at most ``most_rows`` labelled rows, of each at most ``most_chars`` characters;
-scoring always sees whole texts. The dictionaries (at most ``dictionary_bytes`` each) and the curve
+Learning sees at most ``most_rows`` labelled rows, of each a window of at most ``most_chars``
+characters; scoring always sees whole texts. The dictionaries (at most ``dictionary_bytes`` each) and the curve
 travel to the tasks with the function.
 
-Cases: null and empty texts get the score of an empty text; ids that repeat are scored each; with
-one class or no labels the score is the smoothed share of good labels.
+Cases: null and empty texts get the score of an empty text; ids that repeat are scored each, and
+learned from each with the id's least label that is not null; with one class or no labels the score is the smoothed share of good labels.
 """
 
 from __future__ import annotations
@@ -29,6 +28,8 @@ from lodestar.llm.common import fold, map_arrow
 from lodestar.llm.sampling import labelled_texts
 
 LEVEL = 3
+#: Bytes added to a text's size, so that very short texts stay near nought; bytes of a training sample.
+BLANK, SAMPLE = 16, 500
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -43,9 +44,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    centre: tuple[float, ...]
-    scale: tuple[float, ...]
+    curve: tuple[tuple[float, float], ...]  # (difference, probability), rising; none: everything has the prior
     prior: float
 
     def compressors(self):
@@ -57,36 +56,32 @@ class Model:
         return out
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        if not self.weights:
+        if not self.curve:
             return np.full(len(x), self.prior)
-        z = expand((x - np.array(self.centre)) / np.array(self.scale)) @ np.array(self.weights)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        at, p = zip(*self.curve, strict=True)
+        return np.interp(x, at, p)
 
 
-def measures(texts: list[bytes], compressors) -> np.ndarray:
-    """Normalised difference (positive: resembles good text), ratio and log length of each text."""
-    out = np.empty((len(texts), 3))
-    for k, raw in enumerate(texts):
-        good, bad = (len(c.compress(raw)) for c in compressors)
-        out[k] = (bad - good) / (bad + good), min(good, bad) / (len(raw) + 16), np.log1p(len(raw))
-    return out
+def differences(texts: list[bytes], compressors) -> np.ndarray:
+    """Difference of the compressed sizes of each text over its size, which BLANK bytes are added to;
+    positive: it resembles good text."""
+    good, bad = (np.fromiter((len(c.compress(t)) for t in texts), float, len(texts)) for c in compressors)
+    return (bad - good) / (np.fromiter(map(len, texts), float, len(texts)) + BLANK)
 
 
-def expand(x: np.ndarray) -> np.ndarray:
-    """Terms of the curve: a constant, the measures, their squares and products."""
-    d, r, n = x.T
-    return np.stack([np.ones_like(d), d, r, n, d * d, r * r, n * n, d * r, d * n, r * n], axis=1)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+def _isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> list[tuple[float, float]]:
+    """The rising step function of least squares, as the centre and the share of each step. Each share
+    counts one more row, which is good by the prior, so none is 0 or 1 on little evidence."""
+    order = np.argsort(x, kind="stable")
+    at, place = np.unique(x[order], return_inverse=True)
+    steps: list[list[float]] = []  # [rows, good ones, sum of differences]
+    for row in np.stack([np.bincount(place), np.bincount(place, y[order]), np.bincount(place, x[order])], axis=1).tolist():
+        steps.append(row)
+        while len(steps) > 1 and steps[-2][1] * steps[-1][0] >= steps[-1][1] * steps[-2][0]:
+            last = steps.pop()
+            steps[-1] = [a + b for a, b in zip(steps[-1], last, strict=True)]
+    share = np.maximum.accumulate([(good + prior) / (n + 1) for n, good, _ in steps])
+    return [(total / n, float(p)) for (n, _, total), p in zip(steps, share, strict=True)]
 
 
 def train(rows: list[tuple[str, int, int]], dictionary_bytes: int = 64 << 10) -> Model:
@@ -94,16 +89,13 @@ def train(rows: list[tuple[str, int, int]], dictionary_bytes: int = 64 << 10) ->
     encoded = [(t.encode("utf-8", "surrogatepass"), y, d) for t, y, d in rows]
     n_good = sum(y for _, y, _ in encoded)
     prior = (n_good + 1) / (len(encoded) + 2)
-    samples = [[t for t, y, d in encoded if y == c and d % 3 and t] for c in (1, 0)]
+    samples = [[t[k : k + SAMPLE] for t, y, d in encoded if y == c and d % 3 for k in range(0, len(t), SAMPLE)] for c in (1, 0)]
     rest = [(t, y) for t, y, d in encoded if d % 3 == 0]
     if not all(samples) or len({y for _, y in rest}) < 2:
-        return Model(b"", b"", (), (), (), prior)
+        return Model(b"", b"", (), prior)
     good, bad = (_dictionary(s, dictionary_bytes) for s in samples)
-    x = measures([t for t, _ in rest], Model(good, bad, (), (), (), prior).compressors())
-    y = np.array([y for _, y in rest], float)
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w = _logistic(expand((x - centre) / scale), y)
-    return Model(good, bad, tuple(w), tuple(centre), tuple(scale), prior)
+    x = differences([t for t, _ in rest], Model(good, bad, (), prior).compressors())
+    return Model(good, bad, tuple(_isotonic(x, np.array([y for _, y in rest], float), prior)), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 9_000, most_chars: int = 16_000, label: str = "quality") -> Model:
@@ -115,10 +107,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = model.compressors() if model.weights else None
+        both = model.compressors() if model.curve else None
         for b in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(2)]
-            p = model.probabilities(measures(texts, both) if both else np.empty((len(texts), 3)))
+            p = model.probabilities(differences(texts, both) if both else np.empty(len(texts)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     seen = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text")

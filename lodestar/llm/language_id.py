@@ -10,7 +10,7 @@ a threshold rejects predictions below the confidence at which the rest reach ``p
 
 Learning sees at most ``most_rows`` rows, shared evenly among the languages as far as they have rows,
 and of each a window of at most ``most_chars`` characters from anywhere in the text; prediction
-always sees whole texts, in pieces of bounded size.
+always sees whole texts, in pieces of bounded size that overlap, so that no n-gram is lost.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; null languages are not
 learned; with nothing to learn from everything is ``und``; ids that repeat are predicted each.
@@ -36,16 +36,22 @@ _LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """Buckets of the n-grams of raw, which is padded with a space at both ends."""
-    b = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
+def grams(raw: bytes, first: int = 0, end: int | None = None) -> np.ndarray:
+    """Buckets of the n-grams of raw, which is padded with a space at both ends. first, end: only
+    n-grams that start within this piece; all pieces together give each n-gram of the whole once."""
+    end = len(raw) if end is None else min(end, len(raw))
+    last = end == len(raw)  # the n-grams that start before the first byte belong to the first piece
+    padded = (b" " if first == 0 else b"") + raw[first : end + ORDERS[-1] - 1] + (b" " if end + ORDERS[-1] > len(raw) else b"")
+    b = np.frombuffer(padded, np.uint8).astype(np.uint32)
+    starts = end - first + (first == 0) + last
     out = []
     for n in ORDERS:
-        if len(b) < n:
+        count = min(starts, len(b) - n + 1)
+        if count <= 0:
             continue
-        h = np.full(len(b) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+        h = np.full(count, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
         for k in range(n):
-            h = (h ^ b[k : len(b) - n + 1 + k]) * np.uint32(0x01000193)
+            h = (h ^ b[k : count + k]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         out.append(h >> np.uint32(32 - 15))
@@ -63,7 +69,7 @@ class Model:
         raw = text.lower().encode("utf-8", "surrogatepass")
         total, n = np.zeros(len(self.languages)), 0
         for at in range(0, max(1, len(raw)), PIECE):
-            g = grams(raw[at : at + PIECE])
+            g = grams(raw, at, at + PIECE)
             total += self.table.take(g, axis=0).sum(axis=0, dtype=np.float64)
             n += len(g)
         return total / max(1, n)

@@ -6,11 +6,12 @@ thresholds grows by FOIL gain on two thirds of the labelled rows, is pruned on t
 and stays if it is precise enough there; the rows that it covers leave and the next rule is
 sought. The list becomes one ordered CASE expression.
 
-Learning sees a bounded sample: the labelled rows of least hash, at most ``max_labelled`` of them.
+Learning sees a bounded sample: the labelled rows of least hash, at most ``max_labelled`` of them;
+rows of one id and different texts count each, repeated rows once.
 
 Cases: a null or empty text has no words, all counts 0, and is rejected by the base rule; null
-labels and labels without a document are not learned from; a doc_id labelled twice counts once,
-with its lowest label; no labels at all give an empty list, which keeps what the base rule keeps;
+labels, null texts and labels without a document are not learned from; a doc_id labelled twice has
+its lowest label; no labels at all give an empty list, which keeps what the base rule keeps;
 further columns pass through untouched, and statistics named like one of them replace it.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import SPACES, let, text_of, words
+from lodestar.llm.sampling import picked_rows, with_rows
 
 #: Characters that count as symbols, as a class of a regular expression (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -187,17 +189,12 @@ def learn(x: np.ndarray, bad: np.ndarray, grow: np.ndarray, names: list[str], ma
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, label: str = "quality", **options) -> DecisionList:
-    """A decision list from the labelled documents; see the module for the bound on the sample.
-
-    The sample's ids are at most max_labelled, so that side of the join is broadcast."""
-    picked = (
-        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.min(label).cast("int").alias("__label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    )
+    """A decision list from the labelled documents; see the module for the bound on the sample."""
+    picked = picked_rows(docs, F.col(label).cast("int"), max_labelled, labels)
+    base = with_rows(docs, picked, F.col("text"))
     made = features()
-    base = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = statistics(base).select("__label", (F.xxhash64(F.col("doc_id"), F.lit(7)) % 3 == 0).alias("__prune"), *[c.alias(f) for f, c in made.items()]).collect()
+    rows = statistics(base).select("__label", (F.xxhash64(F.col("__key"), F.lit(7)) % 3 == 0).alias("__prune"), *[c.alias(f) for f, c in made.items()], "__key").collect()
+    rows = [r[:-1] for r in sorted(rows, key=lambda r: r[-1])]
     x = np.array([r[2:] for r in rows], np.int64).reshape(len(rows), len(made))
     bad = np.array([r[0] == 0 for r in rows], bool)
     grow = ~np.array([r[1] for r in rows], bool)

@@ -31,6 +31,9 @@ tops AS (SELECT suffix, (k + s0.s*p)/(n + s0.s) AS up FROM suffixes, s0, overall
 middle AS (SELECT domain, (k + s1.s*up)/(n + s1.s) AS up FROM domains JOIN tops USING (suffix), s1),
 means AS (SELECT host, n, (k + s2.s*up)/(n + s2.s) AS mean, n + s2.s AS weight FROM hosts JOIN middle USING (domain), s2),
 bounds AS (SELECT host, n, mean - 1.645*sqrt(mean*(1-mean)/(weight+1)) AS bound FROM means),
+backed AS (SELECT host, coalesce(middle.up, tops.up, p) AS mean FROM (SELECT DISTINCT host, array_to_string(string_split(host,'.')[-2:], '.') AS domain,
+  list_extract(string_split(host,'.'), -1) AS suffix FROM parsed) LEFT JOIN middle USING (domain) LEFT JOIN tops USING (suffix), overall),
+unseen AS (SELECT host, mean - 1.645*sqrt(mean*(1-mean)/(s2.s+1)) AS bound FROM backed, s2),
 ruled AS (SELECT *, CASE
   WHEN (host='example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host='example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -38,8 +41,8 @@ ruled AS (SELECT *, CASE
   WHEN (host='net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed)
 SELECT page_id, ruled.host, path, rule,
  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN coalesce(bound, p - 1.645*sqrt(p*(1-p)/(s2.s+1))) >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, coalesce(n, 0) AS n_outcomes
-FROM ruled LEFT JOIN bounds ON ruled.host = bounds.host, overall, s2"""
+  WHEN coalesce(bounds.bound, unseen.bound) >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, coalesce(n, 0) AS n_outcomes
+FROM ruled LEFT JOIN bounds ON ruled.host = bounds.host JOIN unseen ON ruled.host = unseen.host"""
 
 # --- op9 ---
 
