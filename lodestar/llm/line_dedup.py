@@ -1,30 +1,32 @@
-"""Line dedup [native]: an exact set-similarity join of lines that removes later matches.
-
-A line's tokens are its distinct shingles of five words (of a shorter line the whole of it). Two
-lines match when share[1] * |x & y| >= share[0] * |x | y|. A line is removed if an earlier line, in
-the order of (doc_id, text, place), matches it, whether or not that one is removed itself. Lines
-without words are left alone and match nothing.
-
-1. Every line gets its token set; a digest of the set names its class. A class stands where its
-   first line stands; all its later lines go at once, so copies are one row from here on.
-2. Candidates. In any fixed order of the tokens two matching sets of n and m tokens share at least
-   k tokens among the first n - t + k and m - t' + k of them (t and t': the least overlap). With
-   the order of the hashes and k = 3, classes with fewer than three such tokens that another class
-   has match nothing; that is most of them, found by one count over about a fourth of the tokens.
-3. Rarity. Over the remaining classes tokens are counted and put in order, rarest first. Tokens of
-   one class alone come first of all; only their number is kept.
-4. Join on prefix tokens under the length, positional and bitmap filters; verification on whole
-   sets. First each class meets the earliest class of each of its prefix tokens, which is linear
-   however many share a token; only what no such class removes meets all the earlier others.
-   A token that very many lines have is split by the adaptive skew join, since both sides of every
-   such join are read from files.
-
-Everything is DataFrame operations. Digests are 64 bits wide.
+"""Line dedup: an exact set-similarity join of lines that removes later matches.
+
+A line's tokens are its distinct words `[^\\x20\\x09-\\x0D]+`, as they are spelled. Two lines match when
+share[1] * |x & y| >= share[0] * |x | y|. A line is removed if an earlier line, in the order of
+(doc_id, text, place), matches it, whether or not that one is removed itself. Lines without words are
+left alone and match nothing.
+
+1. Rarity. All words are counted, and every line's tokens are put in order, rarest first
+   (line_words.py). A digest of the set names the line's class. A class stands where its first line
+   stands; all its later lines go at once, so copies are one row from here on.
+2. Prefix. Two sets that match have many neighbours in common: two words that follow each other in
+   both orders, with no word of either line between. So some such pair stands in the prefix of each,
+   and it is pairs, not words, that the join is on; a pair of rare words is far rarer than either. A
+   pair that one class alone has in its prefix links nothing and is dropped, most classes with it.
+3. Join on prefix pairs under the positional filter (the prefix that this length and the other's leave),
+   the length filter and a filter by the parity of tokens; verification on whole sets of words. First
+   each class meets the earliest class of each of its pairs, which is linear however many share a
+   pair; only what no such class removes meets all the earlier others. Lines that share a rare passage
+   and do not match therefore meet each other, as far as the filters let them.
+
+Counting, ordering and finding shared pairs run in numpy on Arrow batches, as built-in functions
+cannot do that within the limits (figures in the README); all else is DataFrame operations. Digests are
+64 bits wide, tokens 58 bits and how common they are.
 
 Cases: null and empty texts have no lines; a document left without any word that had some is
 dropped by apply(); repeated rows (same id, same text) are one document and each keep the same
 lines; rows of one id and different texts are different documents; a null id comes first in order;
-an empty table gives an empty result; other columns pass through, whatever their names.
+an empty table gives an empty result; other columns pass through, whatever their names. A share below
+three quarters is an error: below it matching sets need not have neighbours in common.
 """
 
 from __future__ import annotations
@@ -32,29 +34,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACES, drop_saved, free_shuffles, let, saved, text_of, words
+from lodestar.llm.common import drop_saved, free_shuffles, let, saved, text_of, words
+from lodestar.llm.line_words import PART, line_records, shared_posts, word_counts
 
 SHARE = (80, 100)
-#: Tokens that the prefixes of step 2 must share.
-SHARED = 3
-
-
-def token_set(line: Column, width: int = 5) -> Column:
-    """Sorted distinct shingle hashes of a line; empty for a line without words."""
-
-    def shingles(h: Column) -> Column:
-        n = F.size(h)
-        at = F.sequence(F.lit(0), n - width)
-        long = F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
-        return F.when(n >= width, long).when(n > 0, F.array(F.xxhash64(h, n))).otherwise(F.array().cast("array<bigint>"))
-
-    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(let(hashes, shingles)))
-
-
-def _least(n: Column, share: tuple[int, int]) -> Column:
-    """Tokens that a set of n has in common with any that matches it, at least."""
-    return F.floor((n * share[0] + (share[1] - 1)) / share[1]).cast("int")
 
 
 def _overlap(n: Column, m: Column, share: tuple[int, int]) -> Column:
@@ -68,62 +51,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
 
 
-def lines_of(docs: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
-    """(doc_id, key, line, cls, n, prefix) of each line with words; prefix in the order of hashes."""
-    df = keyed(docs).select("doc_id", F.col("__key").alias("key"), F.posexplode(F.split(text_of(F.col("text")), "\n")).alias("line", "t"))
-    df = df.filter(F.btrim("t", F.lit(SPACES)) != "")  # not on the set: a filter on it would work it out twice
-    df = df.select("doc_id", "key", "line", token_set(F.col("t"), width).alias("s"))
-    n = F.size("s")
-    t = _least(n, share)
-    return df.select("doc_id", "key", "line", F.xxhash64("s", n).alias("cls"), n.alias("n"), F.slice("s", F.lit(1), n - t + F.least(F.lit(SHARED), t)).alias("prefix"))
-
-
-def _candidates(lines: DataFrame, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """All classes (cls, first, copies, n), and those of them that may match another."""
-    classes = saved(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n")), "classes")
-    posts = lines.select("cls", F.explode("prefix").alias("token"))
-    several = posts.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("token")
-    several = saved(several, "several")
-    free_shuffles(lines.sparkSession)
-    hits = posts.join(several.hint("shuffle_hash"), "token").groupBy(F.col("cls").alias("c")).agg(F.count("*").alias("hits"))
-    near = classes.join(hits, F.col("cls") == F.col("c")).filter(F.col("hits") >= F.least(F.lit(SHARED), _least(F.col("n"), share)) * F.col("copies"))
-    near = saved(near.select("cls", "first", "n"), "near")
-    drop_saved(several)
-    free_shuffles(lines.sparkSession)
-    return classes, near
-
-
-def _rare_first(docs: DataFrame, near: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
-    """(cls, first, n, tokens): tokens that another class has, rarest first, of the classes that
-    have enough of them."""
-    wanted = near.groupBy(F.col("first.doc_id").alias("__d"), F.col("first.key").alias("__k")).agg(F.collect_list(F.struct("cls", "n", F.col("first.line").alias("line"))).alias("wanted"))
-    df = keyed(docs.select("doc_id", "text"))
-    df = df.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
-    picked = let(F.split(text_of(F.col("text")), "\n"), lambda l: F.transform("wanted", lambda w: F.struct(w["cls"].alias("cls"), w["n"].alias("n"), F.get(l, w["line"]).alias("t"))))
-    df = df.select(F.explode(picked).alias("p")).select("p.cls", "p.n", token_set(F.col("p.t"), width).alias("s"))
-    sets = saved(df, "sets")
-    free_shuffles(docs.sparkSession)
-    # repeated rows give a class twice here; that may raise a count, which any order bears
-    posts = sets.select("cls", "n", F.explode("s").alias("token"))
-    counts = saved(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
-    free_shuffles(docs.sparkSession)
-    kept = posts.join(counts.hint("shuffle_hash"), "token").groupBy("cls", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("p"))
-    kept = kept.filter(F.size("p") >= _least(F.col("n"), share))
-    kept = kept.select("cls", "n", F.transform("p", lambda x: x["token"]).alias("tokens"))
-    out = kept.join(near.select(F.col("cls").alias("c"), "first"), F.col("cls") == F.col("c")).select("cls", "first", "n", "tokens")
-    out = saved(out, "rare-first")
-    drop_saved(sets, counts)
-    free_shuffles(docs.sparkSession)
-    return out
+def lines_of(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """LINES of every line with words."""
+    if share[0] * 4 < share[1] * 3 or share[0] > share[1]:
+        raise ValueError("a share from three quarters to one")
+    docs = keyed(docs.select("doc_id", "text")).withColumnRenamed("__key", "key")
+    return line_records(docs, word_counts(docs), share)
 
 
-def _prefixes(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """A row for each prefix token. place: where it stands, counting the tokens of the class alone;
-    bits: parity of the tokens by their low six bits."""
-    size = F.size("tokens")
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    df = sets.select("cls", "first", "n", (F.col("n") - size).alias("alone"), bits.alias("bits"), F.slice("tokens", F.lit(1), size - _least(F.col("n"), share) + 1).alias("p"))
-    return df.select("cls", "first", "n", "alone", "bits", F.posexplode("p").alias("i", "token")).withColumn("place", F.col("alone") + F.col("i") + 1).drop("i")
+def _classes(lines: DataFrame) -> DataFrame:
+    """(cls, first, n, bits, ord): ord grows with first, the place of the class."""
+    out = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    out = saved(out, "classes")
+    numbered = saved(out.orderBy("first").withColumn("ord", F.monotonically_increasing_id()), "numbered")
+    drop_saved(out)
+    return numbered
 
 
 def _may_match(share: tuple[int, int]) -> Column:
@@ -131,49 +73,67 @@ def _may_match(share: tuple[int, int]) -> Column:
     n, m = F.col("n"), F.col("e_n")
     overlap = _overlap(n, m, share)
     length = (F.least(n, m) * share[1]) >= (F.greatest(n, m) * share[0])
-    positional = F.least(n - F.col("place"), m - F.col("e_place")) + 1 >= overlap
-    spare = n + m - 2 * overlap - F.col("alone") - F.col("e_alone")  # tokens that may differ among the shared ones
-    bitmap = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= spare
-    return (F.col("e_first") < F.col("first")) & length & positional & bitmap
+    positional = (F.col("place") <= 2 * (n - overlap) + m - overlap) & (F.col("e_place") <= 2 * (m - overlap) + n - overlap)
+    parity = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= n + m - 2 * overlap
+    return (F.col("e_ord") < F.col("ord")) & length & positional & parity
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(cls, other) that match, of the candidate pairs."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(ord, other) that match, of the candidate pairs."""
     pairs = saved(pairs.distinct(), "pairs")
-    own = sets.select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    other = sets.select(F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
-    df = pairs.join(own, F.col("cls") == F.col("c1")).join(other, F.col("other") == F.col("c2"))
-    return df.filter(F.size(F.array_intersect("t1", "t2")) >= _overlap(F.col("n1"), F.col("n2"), share)).select("cls", "other")
+    wanted = pairs.select("ord").union(pairs.select("other")).distinct().join(classes.select(F.col("ord").alias("c"), "first"), F.col("ord") == F.col("c"))
+    wanted = wanted.groupBy(F.col("first.doc_id").alias("__d"), F.col("first.key").alias("__k")).agg(F.collect_list(F.struct("ord", F.col("first.line").alias("line"))).alias("wanted"))
+    df = keyed(docs.select("doc_id", "text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
+    picked = let(F.split(text_of(F.col("text")), "\n"), lambda l: F.transform("wanted", lambda w: F.struct(w["ord"].alias("ord"), F.get(l, w["line"]).alias("t"))))
+    df = df.select(F.explode(picked).alias("p")).select("p.ord", F.array_distinct(F.transform(words(F.col("p.t")), lambda w: F.xxhash64(w))).alias("tokens"))
+    sets = saved(df.dropDuplicates(["ord"]), "sets")  # repeated rows of a document give a class again
+    own, other = sets.select(F.col("ord").alias("c1"), F.col("tokens").alias("t1")), sets.select(F.col("ord").alias("c2"), F.col("tokens").alias("t2"))
+    df = pairs.join(own, F.col("ord") == F.col("c1")).join(other, F.col("other") == F.col("c2"))
+    both = share[0] + share[1]
+    out = df.filter(F.size(F.array_intersect("t1", "t2")) * both >= (F.size("t1") + F.size("t2")) * share[0]).select("ord", "other")
+    return out
 
 
-def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SHARE, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """All classes, and (cls, other): classes whose first line matches an earlier one, and one that it matches."""
+def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
+    """All classes, and (ord, other): classes whose first line matches an earlier one, and one that it matches."""
     spark = docs.sparkSession
-    classes, near = _candidates(lines, share)
-    sets = _rare_first(docs, near, share, width)
-    posts = saved(_prefixes(sets, share), "prefixes")
-    marked = ("first", "cls", "n", "alone", "bits", "place")
-    earliest = saved(posts.groupBy("token").agg(F.min(F.struct(*marked)).alias("e"), F.count("*").alias("lines")).filter("lines > 1").select(F.col("token").alias("e_token"), *[F.col(f"e.{c}").alias(f"e_{c}") for c in marked]), "earliest")
-    tries = posts.join(earliest, (F.col("token") == F.col("e_token")) & _may_match(share)).select("cls", F.col("e_cls").alias("other"))
-    done = saved(_verified(tries, sets, share).groupBy("cls").agg(F.min("other").alias("other")), "removed")
+    total = lines.agg(F.sum(F.size("pairs").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    shared = saved(shared_posts(lines, parts), "shared")
     free_shuffles(spark)
-    rest = saved(posts.join(done.select(F.col("cls").alias("d")), F.col("cls") == F.col("d"), "left_anti"), "undecided")
-    others = posts.select(F.col("token").alias("e_token"), *[F.col(c).alias(f"e_{c}") for c in marked])
-    tries = rest.join(others, (F.col("token") == F.col("e_token")) & _may_match(share)).select("cls", F.col("e_cls").alias("other"))
-    more = _verified(tries, sets, share).groupBy("cls").agg(F.min("other").alias("other"))
+    classes = _classes(lines)
+    posts = shared.join(classes.select(F.col("cls").alias("c"), "ord", "n", "bits"), F.col("cls") == F.col("c"))
+    # one class may have come from several batches
+    posts = posts.groupBy("pair", "ord").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    posts = saved(posts, "posts")
+    drop_saved(shared)
+    free_shuffles(spark)
+    marked = ("ord", "n", "bits", "place")
+    earliest = posts.groupBy("pair").agg(F.min(F.struct(*marked)).alias("e"), F.count("*").alias("classes")).filter("classes > 1")
+    earliest = saved(earliest.select(F.col("pair").alias("e_pair"), *[F.col(f"e.{c}").alias(f"e_{c}") for c in marked]), "earliest")
+    same = F.col("pair") == F.col("e_pair")
+    tries = posts.join(earliest, same & _may_match(share)).select("ord", F.col("e_ord").alias("other"))
+    done = saved(_verified(docs, classes, tries, share).groupBy("ord").agg(F.min("other").alias("other")), "done")
+    drop_saved(earliest)
+    free_shuffles(spark)
+    rest = saved(posts.join(done.select(F.col("ord").alias("d")), F.col("ord") == F.col("d"), "left_anti"), "undecided")
+    others = posts.select(F.col("pair").alias("e_pair"), *[F.col(c).alias(f"e_{c}") for c in marked])
+    tries = rest.join(others, same & _may_match(share)).select("ord", F.col("e_ord").alias("other"))
+    more = _verified(docs, classes, tries, share).groupBy("ord").agg(F.min("other").alias("other"))
     matched = saved(done.union(more), "matched")
-    drop_saved(posts, earliest, rest, sets, near)
+    drop_saved(posts, rest, done)
+    free_shuffles(spark)
     return classes, matched
 
 
-def removals(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5) -> DataFrame:
+def removals(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """(doc_id, key, n_lines, removed): of each document with words the number of its lines with
     words, and the numbers (from 0, blank lines count) of those that go."""
-    lines = saved(lines_of(docs, share, width), "lines")
-    classes, matched = later_matches(docs, lines, share, width)
-    gone = classes.join(matched.select(F.col("cls").alias("m")), F.col("cls") == F.col("m"), "left")
+    lines = saved(lines_of(docs, share), "lines")
+    classes, matched = later_matches(docs, lines, share)
+    gone = classes.join(matched.select(F.col("ord").alias("m")), F.col("ord") == F.col("m"), "left")
     gone = saved(gone.select(F.col("cls").alias("c"), "first", F.col("m").isNotNull().alias("gone")), "verdicts")
-    drop_saved(classes)
+    drop_saved(classes, matched)
     free_shuffles(docs.sparkSession)
     own = F.struct("doc_id", "key", "line")
     judged = lines.select("doc_id", "key", "line", "cls").join(gone, F.col("cls") == F.col("c"))
@@ -199,5 +159,5 @@ def apply(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def dedup(docs: DataFrame, share: tuple[int, int] = SHARE, width: int = 5) -> DataFrame:
-    return apply(docs, removals(docs, share, width))
+def dedup(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    return apply(docs, removals(docs, share))

@@ -105,7 +105,7 @@ SELECT conv_id, turn, 0 AS place, role, kind, call_id,
   ELSE '{{"content":' || to_json({_CONTENT})::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}}' END AS json
 FROM joined"""
 
-# --- op2, op4: sets of shingles, joined on each shingle; for small tables ---
+# --- op2, op4: sets of shingles, of words, joined on each of them; for small tables ---
 
 
 def _shingles(words: str) -> str:
@@ -122,7 +122,7 @@ SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (S
 
 OP4 = f"""WITH lines AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
 worded AS (SELECT doc_id, line, regexp_extract_all(t, {_WORDS}) AS w FROM lines),
-sets AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS k, {_shingles("w")} AS s FROM worded WHERE len(w) > 0),
+sets AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS k, list_distinct(w) AS s FROM worded WHERE len(w) > 0),
 tokens AS (SELECT k, len(s) AS n, unnest(s) AS t FROM sets),
 gone AS (SELECT DISTINCT k FROM (SELECT x.k FROM tokens x JOIN tokens y ON x.t = y.t AND y.k < x.k
   GROUP BY x.k, y.k, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*)))),

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from lodestar.llm import line_dedup
+from lodestar.llm import line_dedup, line_words
 from tests.llm.conftest import ODD
 from tests.llm.test_ngram_join import edited
 
@@ -13,8 +14,7 @@ def brute(rows):
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         out[i] = []
         for k, line in enumerate((text or "").split("\n")):
-            w = line.encode().split()
-            s = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+            s = {*line.encode().split()}
             if not s:
                 continue
             if any(100 * len(s & e) >= 80 * len(s | e) for e in earlier):
@@ -53,6 +53,56 @@ def test_a_group_of_near_copies(make, prose):
     assert {i: got.get(i, []) for i in want} == want
 
 
+def test_one_changed_word_is_caught(make, prose):
+    """Planted edits: lines of nine words and more, each once more with one inner word changed."""
+    dice = random.Random(9)
+    base = [prose(4000 + k, dice.choice((9, 12, 20, 27, 40, 57, 99))) for k in range(120)]
+    edited_ = []
+    for line in base:
+        w = line.split()
+        w[dice.randrange(1, len(w) - 1)] = "altered"
+        edited_.append(" ".join(w))
+    rows = [(k, t) for k, t in enumerate([*base, *edited_])]
+    got = removed(make(rows))
+    assert not any(got[k] for k in range(120))
+    caught = [got[120 + k] == [0] for k in range(120)]
+    long = [c for c, line in zip(caught, base, strict=True) if len({*line.split()}) >= 9]
+    assert len(long) > 100 and all(long)
+
+
+def test_prefixes_hold_a_pair_of_any_match():
+    """Over all sizes and all ways to differ: the shared pairs left are as many as the bound says."""
+    dice = random.Random(4)
+    for _ in range(4000):
+        n = dice.randrange(1, 40)
+        x = sorted(dice.sample(range(200), n))
+        gone, added = dice.randrange(0, 1 + n // 4), dice.randrange(0, 1 + n // 4)
+        y = sorted({*x} - {*dice.sample(x, gone)} | {*dice.sample(range(200), added)})
+        if not y or 100 * len({*x} & {*y}) < 80 * len({*x} | {*y}) or x == y:
+            continue
+        (a, b) = line_words.prefix_lengths(np.array([len(x), len(y)]), (80, 100))
+        pairs = lambda s, k: {(s[i], s[i + 1]) for i in range(k)}
+        assert pairs(x, a) & pairs(y, b), (x, y)
+
+
+def test_words_and_lines_of_bytes(prose):
+    for raw in (b"", b"\n", b" a\tb\x0b\x0cc\r\nd  \n\ne", prose(3, 50_000).replace(" the", "\n").encode(), b"x" * 400_000 + b" y"):
+        line, h = line_words.words_of(raw)
+        want = [(k, w) for k, part in enumerate(raw.split(b"\n")) for w in part.split()]
+        assert line.tolist() == [k for k, _ in want]
+        assert h.tolist() == [int(line_words.words_of(w)[1][0]) for _, w in want[:50]] + h.tolist()[50:]
+        assert len({*h.tolist()}) == len({w for _, w in want})
+
+
+def test_lines_without_words_long_ones_and_bounds(make, prose):
+    assert removed(make([(1, " "), (2, ""), (3, "\n\t\n")])) == {}
+    rows = [(1, prose(1, 30_000)), (2, prose(1, 30_000) + " more"), (3, "\n".join(prose(50 + k, 3) for k in range(3000)))]
+    want, got = brute(rows), removed(make(rows))
+    assert {i: got.get(i, []) for i in want} == want and want[2] == [0]
+    with pytest.raises(ValueError, match="three quarters"):
+        line_dedup.lines_of(make(rows), (70, 100))
+
+
 def test_texts_are_put_together_again(make, prose):
     a, b, c = prose(1, 12), prose(2, 12), prose(3, 12)
     rows = [(1, f"{a}\n\n{b}\n"), (2, f"{b}\n{c}\n\n{a}"), (3, a), (4, ""), (5, None), (6, "\n \n")]
