@@ -69,71 +69,81 @@ def _classes(lines: DataFrame) -> DataFrame:
 
 
 def _may_match(share: tuple[int, int]) -> Column:
-    """Filters on columns of one side and, marked e_, of an earlier other."""
+    """The length filter and the parity filter, on columns of one class and, marked e_, of another."""
     n, m = F.col("n"), F.col("e_n")
-    overlap = _overlap(n, m, share)
     length = (F.least(n, m) * share[1]) >= (F.greatest(n, m) * share[0])
-    positional = (F.col("place") <= 2 * (n - overlap) + m - overlap) & (F.col("e_place") <= 2 * (m - overlap) + n - overlap)
-    parity = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= n + m - 2 * overlap
-    return (F.col("e_ord") < F.col("ord")) & length & positional & parity
+    return length & (F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= n + m - 2 * _overlap(n, m, share))
+
+
+def _in_prefix(share: tuple[int, int]) -> Column:
+    """The positional filter: the pair stands within the prefixes that the two sizes leave."""
+    n, m = F.col("n"), F.col("e_n")
+    overlap = _overlap(n, m, share)
+    return (F.col("place") <= 2 * (n - overlap) + m - overlap) & (F.col("e_place") <= 2 * (m - overlap) + n - overlap)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(ord, other) that match, of the candidate pairs."""
-    pairs = saved(pairs.distinct(), "pairs")
+def _verified(docs: DataFrame, classes: DataFrame, tries: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(ord, other) that match, of the candidates: one other for each ord."""
+    pairs = saved(tries.distinct(), "pairs")
+    free_shuffles(docs.sparkSession)
     wanted = pairs.select("ord").union(pairs.select("other")).distinct().join(classes.select(F.col("ord").alias("c"), "first"), F.col("ord") == F.col("c"))
     wanted = wanted.groupBy(F.col("first.doc_id").alias("__d"), F.col("first.key").alias("__k")).agg(F.collect_list(F.struct("ord", F.col("first.line").alias("line"))).alias("wanted"))
     df = keyed(docs.select("doc_id", "text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
     picked = let(F.split(text_of(F.col("text")), "\n"), lambda l: F.transform("wanted", lambda w: F.struct(w["ord"].alias("ord"), F.get(l, w["line"]).alias("t"))))
     df = df.select(F.explode(picked).alias("p")).select("p.ord", F.array_distinct(F.transform(words(F.col("p.t")), lambda w: F.xxhash64(w))).alias("tokens"))
     sets = saved(df.dropDuplicates(["ord"]), "sets")  # repeated rows of a document give a class again
+    free_shuffles(docs.sparkSession)
     own, other = sets.select(F.col("ord").alias("c1"), F.col("tokens").alias("t1")), sets.select(F.col("ord").alias("c2"), F.col("tokens").alias("t2"))
     df = pairs.join(own, F.col("ord") == F.col("c1")).join(other, F.col("other") == F.col("c2"))
     both = share[0] + share[1]
-    out = df.filter(F.size(F.array_intersect("t1", "t2")) * both >= (F.size("t1") + F.size("t2")) * share[0]).select("ord", "other")
+    df = df.filter(F.size(F.array_intersect("t1", "t2")) * both >= (F.size("t1") + F.size("t2")) * share[0])
+    out = saved(df.groupBy("ord").agg(F.min("other").alias("other")), "verified")
+    drop_saved(pairs, sets)
+    free_shuffles(docs.sparkSession)
     return out
 
 
 def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
-    """All classes, and (ord, other): classes whose first line matches an earlier one, and one that it matches."""
+    """All classes, and (ord, other): classes whose first line matches an earlier one, and one that it
+    matches. The lines are dropped once their pairs have been dealt out."""
     spark = docs.sparkSession
     total = lines.agg(F.sum(F.size("pairs").cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     shared = saved(shared_posts(lines, parts), "shared")
     free_shuffles(spark)
     classes = _classes(lines)
+    drop_saved(lines)
     posts = shared.join(classes.select(F.col("cls").alias("c"), "ord", "n", "bits"), F.col("cls") == F.col("c"))
-    # one class may have come from several batches
-    posts = posts.groupBy("pair", "ord").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.min("bits").alias("bits"))
-    posts = saved(posts, "posts")
+    posts = saved(posts.select("pair", "ord", "place", "n", "bits"), "posts")
     drop_saved(shared)
     free_shuffles(spark)
-    marked = ("ord", "n", "bits", "place")
-    earliest = posts.groupBy("pair").agg(F.min(F.struct(*marked)).alias("e"), F.count("*").alias("classes")).filter("classes > 1")
-    earliest = saved(earliest.select(F.col("pair").alias("e_pair"), *[F.col(f"e.{c}").alias(f"e_{c}") for c in marked]), "earliest")
+
     same = F.col("pair") == F.col("e_pair")
-    tries = posts.join(earliest, same & _may_match(share)).select("ord", F.col("e_ord").alias("other"))
-    done = saved(_verified(docs, classes, tries, share).groupBy("ord").agg(F.min("other").alias("other")), "done")
-    drop_saved(earliest)
-    free_shuffles(spark)
-    rest = saved(posts.join(done.select(F.col("ord").alias("d")), F.col("ord") == F.col("d"), "left_anti"), "undecided")
-    others = posts.select(F.col("pair").alias("e_pair"), *[F.col(c).alias(f"e_{c}") for c in marked])
-    tries = rest.join(others, same & _may_match(share)).select("ord", F.col("e_ord").alias("other"))
-    more = _verified(docs, classes, tries, share).groupBy("ord").agg(F.min("other").alias("other"))
-    matched = saved(done.union(more), "matched")
-    drop_saved(posts, rest, done)
+    other = classes.select(F.col("ord").alias("e_ord"), F.col("n").alias("e_n"), F.col("bits").alias("e_bits"))
+    earliest = posts.groupBy(F.col("pair").alias("e_pair")).agg(F.min("ord").alias("other"), F.count("*").alias("posts")).filter("posts > 1")
+    tries = posts.join(saved(earliest.drop("posts"), "earliest"), same & (F.col("other") < F.col("ord"))).select("ord", "other", "n", "bits").distinct()
+    tries = tries.join(other, (F.col("other") == F.col("e_ord")) & _may_match(share)).select("ord", "other")
+    done = _verified(docs, classes, tries, share)
+
+    marked = saved(posts.join(done.select(F.col("ord").alias("d")), F.col("ord") == F.col("d"), "left").withColumn("open", F.col("d").isNull()).drop("d"), "marked")
+    drop_saved(posts)
     free_shuffles(spark)
-    return classes, matched
+    others = marked.select(*[F.col(c).alias(f"e_{c}") for c in ("pair", "ord", "n", "bits", "place")])
+    tries = marked.filter("open").join(others, same & (F.col("e_ord") < F.col("ord")) & _may_match(share) & _in_prefix(share))
+    more = _verified(docs, classes, tries.select("ord", F.col("e_ord").alias("other")), share)
+    drop_saved(marked)
+    return classes, done.union(more)
 
 
 def removals(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """(doc_id, key, n_lines, removed): of each document with words the number of its lines with
     words, and the numbers (from 0, blank lines count) of those that go."""
-    lines = saved(lines_of(docs, share), "lines")
-    classes, matched = later_matches(docs, lines, share)
+    records = saved(lines_of(docs, share), "records")
+    lines = saved(records.select("doc_id", "key", "line", "cls"), "lines")
+    classes, matched = later_matches(docs, records, share)
     gone = classes.join(matched.select(F.col("ord").alias("m")), F.col("ord") == F.col("m"), "left")
     gone = saved(gone.select(F.col("cls").alias("c"), "first", F.col("m").isNotNull().alias("gone")), "verdicts")
-    drop_saved(classes, matched)
+    drop_saved(classes)
     free_shuffles(docs.sparkSession)
     own = F.struct("doc_id", "key", "line")
     judged = lines.select("doc_id", "key", "line", "cls").join(gone, F.col("cls") == F.col("c"))

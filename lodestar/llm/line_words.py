@@ -231,7 +231,8 @@ def _dealt(lines: DataFrame, parts: int) -> DataFrame:
 
 
 def shared_posts(lines: DataFrame, parts: int) -> DataFrame:
-    """POSTS of the pairs that several classes have. A post may come more than once."""
+    """POSTS of the pairs that several classes have. A post may come more than once, from batches that
+    have several classes with its pair."""
 
     def rows(pair: np.ndarray, cls: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(pair), 50_000):
@@ -243,8 +244,8 @@ def shared_posts(lines: DataFrame, parts: int) -> DataFrame:
         cls, low, place, shared = cls[order], low[order], place[order], shared[order]
         new = np.r_[True, low[1:] != low[:-1]]
         group = np.cumsum(new) - 1
-        kinds = np.bincount(group, new | np.r_[True, cls[1:] != cls[:-1]])
-        keep = ((kinds > 1) | (np.bincount(group, shared) > 0))[group]
+        once = new | np.r_[True, cls[1:] != cls[:-1]]  # a class may come from several batches
+        keep = ((np.bincount(group, once) > 1) | (np.bincount(group, shared) > 0))[group] & once
         yield from rows(low[keep].astype(np.int64) | part << 32, cls[keep], place[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
