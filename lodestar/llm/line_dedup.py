@@ -14,9 +14,10 @@ left alone and match nothing.
    pair that one class alone has in its prefix links nothing and is dropped, most classes with it.
 3. Join on prefix pairs under the positional filter (the prefix that this length and the other's leave),
    the length filter and a filter by the parity of tokens; verification on whole sets of words. First
-   each class meets the earliest class of each of its pairs, which is linear however many share a
-   pair; only what no such class removes meets all the earlier others. Lines that share a rare passage
-   and do not match therefore meet each other, as far as the filters let them.
+   each class meets the earliest class of each of its pairs, then, of a crowded pair, the earliest of
+   each of PIVOTS parts of its classes. Both are linear however many share a pair, and remove most
+   of a group of near copies; only what they leave meets all the earlier others. Lines that share a
+   rare passage and do not match therefore meet each other, as far as the filters let them.
 
 Counting, ordering and finding shared pairs run in numpy on Arrow batches, as built-in functions
 cannot do that within the limits (figures in the README); all else is DataFrame operations. Digests are
@@ -38,6 +39,8 @@ from lodestar.llm.common import drop_saved, free_shuffles, let, saved, text_of,
 from lodestar.llm.line_words import PART, line_records, shared_posts, word_counts
 
 SHARE = (80, 100)
+#: A pair that more classes have is crowded; its classes meet so many others first, besides the earliest.
+CROWD, PIVOTS = 64, 16
 
 
 def _overlap(n: Column, m: Column, share: tuple[int, int]) -> Column:
@@ -121,17 +124,28 @@ def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SH
     same = F.col("pair") == F.col("e_pair")
     other = classes.select(F.col("ord").alias("e_ord"), F.col("n").alias("e_n"), F.col("bits").alias("e_bits"))
     earliest = posts.groupBy(F.col("pair").alias("e_pair")).agg(F.min("ord").alias("other"), F.count("*").alias("posts")).filter("posts > 1")
-    tries = posts.join(saved(earliest.drop("posts"), "earliest"), same & (F.col("other") < F.col("ord"))).select("ord", "other", "n", "bits").distinct()
+    earliest = saved(earliest, "earliest")
+    tries = posts.join(earliest, same & (F.col("other") < F.col("ord"))).select("ord", "other", "n", "bits").distinct()
     tries = tries.join(other, (F.col("other") == F.col("e_ord")) & _may_match(share)).select("ord", "other")
     done = _verified(docs, classes, tries, share)
 
     marked = saved(posts.join(done.select(F.col("ord").alias("d")), F.col("ord") == F.col("d"), "left").withColumn("open", F.col("d").isNull()).drop("d"), "marked")
     drop_saved(posts)
     free_shuffles(spark)
+    open_ = marked.filter("open")
+    crowded = saved(earliest.filter(F.col("posts") > CROWD).select("e_pair"), "crowded")
+    if not crowded.isEmpty():
+        crowd = saved(marked.join(crowded, same).select("pair", "ord", "n", "bits", "open"), "crowd")
+        some = crowd.groupBy(F.col("pair").alias("e_pair"), F.pmod(F.xxhash64("ord"), F.lit(PIVOTS)).alias("salt")).agg(F.min("ord").alias("pivot"))
+        some = some.join(other, F.col("pivot") == F.col("e_ord"))
+        tries = crowd.filter("open").join(some, same & (F.col("e_ord") < F.col("ord")) & _may_match(share))
+        more = _verified(docs, classes, tries.select("ord", F.col("e_ord").alias("other")), share)
+        done, open_ = done.union(more), open_.join(more.select(F.col("ord").alias("d")), F.col("ord") == F.col("d"), "left_anti")
+        drop_saved(crowd)
     others = marked.select(*[F.col(c).alias(f"e_{c}") for c in ("pair", "ord", "n", "bits", "place")])
-    tries = marked.filter("open").join(others, same & (F.col("e_ord") < F.col("ord")) & _may_match(share) & _in_prefix(share))
+    tries = open_.join(others, same & (F.col("e_ord") < F.col("ord")) & _may_match(share) & _in_prefix(share))
     more = _verified(docs, classes, tries.select("ord", F.col("e_ord").alias("other")), share)
-    drop_saved(marked)
+    drop_saved(marked, earliest, crowded)
     return classes, done.union(more)
 
 
