@@ -53,19 +53,6 @@ def test_a_group_of_near_copies(make, prose):
     assert {i: got.get(i, []) for i in want} == want
 
 
-def test_crowded_pairs_meet_some_others_first(make, prose, monkeypatch):
-    """Near copies of a line that is not there itself, and lines that share a passage and do not match."""
-    monkeypatch.setattr(line_dedup, "CROWD", 8)
-    monkeypatch.setattr(line_dedup, "PIVOTS", 3)
-    dice = random.Random(8)
-    base, passage = prose(78, 40), prose(79, 30)
-    rows = [(i, edited(base, dice, dice.choice((2, 3, 4, 5)))) for i in range(60)]
-    rows += [(100 + i, f"{passage} {prose(900 + i, 20)}") for i in range(40)]
-    want, got = brute(rows), removed(make(rows))
-    assert {i: got.get(i, []) for i in want} == want
-    assert 20 < sum(map(len, want.values())) < 60
-
-
 def test_one_changed_word_is_caught(make, prose):
     """Planted edits: lines of nine words and more, each once more with one inner word changed."""
     dice = random.Random(9)
