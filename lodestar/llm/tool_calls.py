@@ -135,7 +135,8 @@ def link(items: DataFrame, tools: dict[str, Tool]) -> DataFrame:
     first = F.min(F.when(is_call, F.struct("turn", "place")))
     links = keyed.groupBy("conv_id", "call_id").agg(first.alias("first"), F.count_if(F.col("kind") == "result").alias("n_results"))
     links = saved(links.select(F.col("conv_id").alias("__conv"), F.col("call_id").alias("__id"), "first", "n_results"), "links")
-    df = items.join(links, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("call_id") == F.col("__id")), "left").drop("__conv", "__id")
+    # a hash join by name, whatever the sizes: the table held is a partition's share of the identifiers
+    df = items.join(links.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("call_id") == F.col("__id")), "left").drop("__conv", "__id")
     is_result = F.col("kind") == "result"
     own = F.col("first").isNotNull() & F.col("first.turn").eqNullSafe(F.col("turn")) & (F.col("first.place") == F.col("place"))
     state = F.when(is_call & F.col("first").isNotNull() & ~own, F.lit("duplicate")).when(is_call & (F.coalesce("n_results", F.lit(0)) == 0), F.lit("unanswered"))

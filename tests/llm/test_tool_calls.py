@@ -65,3 +65,11 @@ def test_long_conversations_are_numbered_throughout(spark):
     assert [(r["position"], json.loads(r["json"])["content"]) for r in link(spark, rows)] == [(k, str(k)) for k in range(2000)]
     extra = spark.createDataFrame([(*rows[0], "a", "b")], "conv_id long, turn long, role string, text string, state string, n long" .replace("n long", "n string"))
     assert t.link(t.from_messages(extra), TOOLS).count() == 1
+
+
+def test_calls_and_results_meet_in_a_hash_join(spark, data):
+    from lodestar.llm.registry import op6_link_tool_calls
+
+    text = op6_link_tool_calls(spark, f"{data}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join [" in line and "call_id" in line]
+    assert joins and all("ShuffledHashJoin" in line for line in joins)
