@@ -164,6 +164,8 @@ OPERATORS: dict[str, tuple[Query, str]] = {
     "sum_product": (partial(_run, _doc([("DATE", "D_YEAR")], "LO_EXTENDEDPRICE*LO_DISCOUNT", "TOTAL")), _sql("D_YEAR", group="ALL", metric=_PRODUCT, alias="TOTAL")),
     "sum_subtract": (partial(_run, _doc([("DATE", "D_YEAR")], "LO_REVENUE - LO_SUPPLYCOST", "TOTAL")), _sql("D_YEAR", group="ALL", metric=_PROFIT, alias="TOTAL")),
     "sum_add": (partial(_run, _doc([("DATE", "D_YEAR")], "LO_REVENUE+LO_SUPPLYCOST", "TOTAL")), _sql("D_YEAR", group="ALL", metric="SUM(LO_REVENUE+LO_SUPPLYCOST)", alias="TOTAL")),
+    "max_divide": (partial(_run, _doc([("DATE", "D_YEAR")], "LO_EXTENDEDPRICE/LO_QUANTITY", "TOTAL", function="MAX")), _sql("D_YEAR", group="ALL", metric="MAX(LO_EXTENDEDPRICE/LO_QUANTITY)", alias="TOTAL", kind="DOUBLE")),
+    "unknown_names_compat": (partial(_run, _doc([("PLANET", None), ("DATE", "D_YEAR")], order=[("P_BRAND", "ASC")]), compat=True), _sql("D_YEAR", group="ALL") + " HAVING SUM(LO_REVENUE) <> 0"),
     "agg_scalar": (partial(_run, _doc()), _sql("")),
     "agg_scalar_empty": (partial(_run, _doc([("DATE", None, ("D_YEAR", "=", 1900))])), _sql("", where="D_YEAR=1900")),
     "agg_scalar_empty_compat": (partial(_run, _doc([("DATE", None, ("D_YEAR", "=", 1900))]), compat=True), _sql("", where="D_YEAR=1900") + " HAVING SUM(LO_REVENUE) <> 0"),
