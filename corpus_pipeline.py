@@ -2,6 +2,15 @@
 
 quality rules -> line dedup -> n-gram Jaccard join -> mixing sources -> best-fit packing. Every
 stage but the last returns the columns of ``documents``; the last returns the packed pieces.
+
+Cases, for every stage: an empty table gives an empty result; columns besides those of ``documents``
+are dropped, whatever their names; null languages pass through. Null and empty texts and texts
+without words end at the quality rules (too short) and, where a stage is run by itself, pass line
+dedup and the n-gram join as they are, are left out by mixing, and are packed as the separator alone.
+Null ids are ids like any other: first in the order of lines, last among the rows of a group. Rows
+that share an id are judged each by their own text; mixing takes rows that share an id and a source
+together. Repeated rows each keep the same lines; the n-gram join leaves one of them. The null
+source is a source of its own.
 """
 
 from __future__ import annotations
