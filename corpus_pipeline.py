@@ -9,7 +9,8 @@ without words end at the quality rules (too short) and, where a stage is run by
 dedup and the n-gram join as they are, are left out by mixing, and are packed as the separator alone.
 Null ids are ids like any other: first in the order of lines, last among the rows of a group. Rows
 that share an id are judged each by their own text; mixing takes rows that share an id and a source
-together. Repeated rows each keep the same lines; the n-gram join leaves one of them. The null
+together. Repeated rows each keep the same lines; the n-gram join leaves one of
+them if they have words. The null
 source is a source of its own.
 """
 
