@@ -15,8 +15,10 @@ left alone and match nothing.
 3. Join on prefix pairs under the positional filter (the prefix that this length and the other's leave),
    the length filter and a filter by the parity of tokens; verification on whole sets of words. First
    each class meets the earliest class of each of its pairs, which is linear however many share a
-   pair; only what no such class removes meets all the earlier others. Lines that share a rare passage
-   and do not match therefore meet each other, as far as the filters let them.
+   pair; only what no such class removes meets the earlier others, in pairs that more than two have.
+   Of pairs that follow each other in both sets only the first brings them together, so a passage that
+   two lines have in common is one candidate, not one for each of its words. Lines that share a rare
+   passage and do not match therefore meet each other, as far as the filters let them.
 
 Counting, ordering and finding shared pairs run in numpy on Arrow batches, as built-in functions
 cannot do that within the limits (figures in the README); all else is DataFrame operations. Digests are
@@ -31,7 +33,7 @@ three quarters is an error: below it matching sets need not have neighbours in c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import drop_saved, free_shuffles, let, saved, text_of, words
@@ -61,18 +63,26 @@ def lines_of(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 
 def _classes(lines: DataFrame) -> DataFrame:
     """(cls, first, n, bits, ord): ord grows with first, the place of the class."""
-    out = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    out = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("more").alias("more"))
     out = saved(out, "classes")
     numbered = saved(out.orderBy("first").withColumn("ord", F.monotonically_increasing_id()), "numbered")
     drop_saved(out)
     return numbered
 
 
-def _may_match(share: tuple[int, int]) -> Column:
-    """The length filter and the parity filter, on columns of one class and, marked e_, of another."""
+def _may_match(share: tuple[int, int], fine: bool = False) -> Column:
+    """The length filter and the parity filter, on columns of one class and, marked e_, of another.
+
+    Behind each bit in which the parities differ stands a token that only one set has. 64 bits tell by
+    tokens' last six bits, 128 (fine) by the last seven."""
     n, m = F.col("n"), F.col("e_n")
     length = (F.least(n, m) * share[1]) >= (F.greatest(n, m) * share[0])
-    return length & (F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= n + m - 2 * _overlap(n, m, share))
+    differ = F.col("bits").bitwiseXOR(F.col("e_bits"))
+    apart = F.bit_count(differ)
+    if fine:
+        upper = F.col("more").bitwiseXOR(F.col("e_more"))
+        apart = F.bit_count(upper) + F.bit_count(differ.bitwiseXOR(upper))
+    return length & (apart <= n + m - 2 * _overlap(n, m, share))
 
 
 def _in_prefix(share: tuple[int, int]) -> Column:
@@ -121,15 +131,26 @@ def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SH
     same = F.col("pair") == F.col("e_pair")
     other = classes.select(F.col("ord").alias("e_ord"), F.col("n").alias("e_n"), F.col("bits").alias("e_bits"))
     earliest = posts.groupBy(F.col("pair").alias("e_pair")).agg(F.min("ord").alias("other"), F.count("*").alias("posts")).filter("posts > 1")
-    tries = posts.join(saved(earliest.drop("posts"), "earliest"), same & (F.col("other") < F.col("ord"))).select("ord", "other", "n", "bits").distinct()
+    earliest = saved(earliest, "earliest")
+    tries = posts.join(earliest, same & (F.col("other") < F.col("ord"))).select("ord", "other", "n", "bits").distinct()
     tries = tries.join(other, (F.col("other") == F.col("e_ord")) & _may_match(share)).select("ord", "other")
     done = _verified(docs, classes, tries, share)
 
-    marked = saved(posts.join(done.select(F.col("ord").alias("d")), F.col("ord") == F.col("d"), "left").withColumn("open", F.col("d").isNull()).drop("d"), "marked")
-    drop_saved(posts)
+    # The earliest class of a pair has met all others of it. Of what is left a post knows the pair before
+    # it (prev): two classes with the same one have met there, or where that run of pairs begins.
+    crowded = earliest.filter("posts > 2").select("e_pair", "other")
+    state = classes.select(F.col("ord").alias("c"), "more").join(done.select(F.col("ord").alias("d")), F.col("c") == F.col("d"), "left")
+    left = posts.join(crowded, same & (F.col("other") != F.col("ord"))).select("pair", "ord", "place", "n", "bits")
+    left = left.withColumn("prev", F.lag("pair").over(Window.partitionBy("ord").orderBy("place", "pair")))
+    left = left.filter(F.col("prev").isNull() | (F.col("prev") != F.col("pair")))  # posts that came twice
+    left = left.join(state, F.col("ord") == F.col("c")).withColumn("open", F.col("d").isNull()).drop("c", "d")
+    marked = saved(left, "marked")
+    drop_saved(posts, earliest)
     free_shuffles(spark)
-    others = marked.select(*[F.col(c).alias(f"e_{c}") for c in ("pair", "ord", "n", "bits", "place")])
-    tries = marked.filter("open").join(others, same & (F.col("e_ord") < F.col("ord")) & _may_match(share) & _in_prefix(share))
+    others = marked.select(*[F.col(c).alias(f"e_{c}") for c in ("pair", "ord", "n", "bits", "more", "place", "prev")])
+    new = F.col("prev").isNull() | F.col("e_prev").isNull() | (F.col("prev") != F.col("e_prev"))
+    met = same & (F.col("e_ord") < F.col("ord")) & new & _may_match(share, fine=True) & _in_prefix(share)
+    tries = marked.filter("open").join(others, met)
     more = _verified(docs, classes, tries.select("ord", F.col("e_ord").alias("other")), share)
     drop_saved(marked)
     return classes, done.union(more)

@@ -123,13 +123,13 @@ def prefix_lengths(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return np.minimum(out, np.maximum(n - 1, 0))
 
 
-LINES = "doc_id long, key long, line int, cls long, n int, bits long, pairs array<bigint>"
+LINES = "doc_id long, key long, line int, cls long, n int, bits long, more long, pairs array<bigint>"
 
 
 def line_records(docs: DataFrame, counts: np.ndarray, share: tuple[int, int]) -> DataFrame:
     """LINES of docs (doc_id, key, text): of every line with words its class (a digest of its set),
-    the size of the set, the parity of its tokens by their last six bits, and its prefix as hashes
-    of neighbouring pairs."""
+    the size of the set, the parity of its tokens by their last six bits (bits), the same of those tokens
+    alone whose seventh bit is set (more), and its prefix as hashes of neighbouring pairs."""
     common = commonness(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +145,12 @@ def line_records(docs: DataFrame, counts: np.ndarray, share: tuple[int, int]) ->
         from_ = np.cumsum([0] + [x.count(b"\n") + 1 for x in texts])
         doc = np.searchsorted(from_, line, "right") - 1
         cls = mixed(np.add.reduceat(mixed(t), first) + n.astype(U) * _PLACES[0])
-        bits = np.bitwise_xor.reduceat(U(1) << (t & U(63)), first)
+        bits, more = (np.bitwise_xor.reduceat(x << (t & U(63)), first) for x in (U(1), t >> U(6) & U(1)))
         length = prefix_lengths(n, share)
         i = np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
         pairs = mixed(t[i] * _PLACES[1] + t[i + 1] * _PLACES[2]).view(np.int64) if len(i) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(pairs))
-        columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), (line - from_[doc]).astype(np.int32), cls.view(np.int64), n.astype(np.int32), bits.view(np.int64)]
+        columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), (line - from_[doc]).astype(np.int32), cls.view(np.int64), n.astype(np.int32), bits.view(np.int64), more.view(np.int64)]
         out = pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), lists], names=[x.split()[0] for x in LINES.split(", ")])
         for at in range(0, out.num_rows, 20_000):
             yield out.slice(at, 20_000)
