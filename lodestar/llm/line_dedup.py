@@ -20,9 +20,7 @@ left alone and match nothing.
    two lines have in common is one candidate, not one for each of its words. Lines that share a rare
    passage and do not match therefore meet each other, as far as the filters let them.
 
-Counting, ordering and finding shared pairs run in numpy on Arrow batches, as built-in functions
-cannot do that within the limits (figures in the README); all else is DataFrame operations. Digests are
-64 bits wide, tokens 58 bits and how common they are.
+All of it is DataFrame operations. Digests are 64 bits wide, tokens 57 bits and how common they are.
 
 Cases: null and empty texts have no lines; a document left without any word that had some is
 dropped by apply(); repeated rows (same id, same text) are one document and each keep the same
@@ -37,9 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import drop_saved, free_shuffles, let, saved, text_of, words
-from lodestar.llm.line_words import PART, line_records, shared_posts, word_counts
+from lodestar.llm.line_words import line_records, word_counts
 
 SHARE = (80, 100)
+#: Bits of a place in a prefix; later places count as the last one, which the positional filter lets pass more.
+_PLACE_BITS = 12
+_LAST = (1 << _PLACE_BITS) - 1
 
 
 def _overlap(n: Column, m: Column, share: tuple[int, int]) -> Column:
@@ -62,14 +63,29 @@ def lines_of(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(cls, first, n, bits, ord): ord grows with first, the place of the class."""
-    out = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("more").alias("more"))
-    out = saved(out, "classes")
-    numbered = saved(out.orderBy("first").withColumn("ord", F.monotonically_increasing_id()), "numbered")
+    """(cls, first, n, bits, more, pairs, ord): ord grows with first, the place of the class."""
+    own = F.first(F.struct("n", "bits", "more", "pairs")).alias("own")
+    out = saved(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), own), "classes")
+    drop_saved(lines)
+    free_shuffles(lines.sparkSession)
+    numbered = out.orderBy("first").select("cls", "first", "own.*", F.monotonically_increasing_id().alias("ord"))
+    numbered = saved(numbered, "numbered")
     drop_saved(out)
+    free_shuffles(lines.sparkSession)
     return numbered
 
 
+def _shared(classes: DataFrame) -> DataFrame:
+    """(pair, ord, place, other, posts) of the pairs that several classes have: how many have it, and the
+    earliest. Place and ord are one number while they are dealt out by pair."""
+    at = F.shiftleft("ord", _PLACE_BITS).bitwiseOR(F.least(F.col("place"), F.lit(_LAST)).cast("long"))
+    posts = classes.select("ord", F.posexplode("pairs").alias("place", "pair")).select("pair", at.alias("at"))
+    same = Window.partitionBy("pair")
+    posts = posts.select("pair", "at", F.min("at").over(same).alias("low"), F.count("*").over(same).alias("posts")).filter("posts > 1")
+    place = F.col("at").bitwiseAND(F.lit(_LAST).cast("long")).cast("int")
+    return posts.select("pair", F.shiftright("at", _PLACE_BITS).alias("ord"), place.alias("place"), F.shiftright("low", _PLACE_BITS).alias("other"), "posts")
+
+
 def _may_match(share: tuple[int, int], fine: bool = False) -> Column:
     """The length filter and the parity filter, on columns of one class and, marked e_, of another.
 
@@ -117,35 +133,25 @@ def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SH
     """All classes, and (ord, other): classes whose first line matches an earlier one, and one that it
     matches. The lines are dropped once their pairs have been dealt out."""
     spark = docs.sparkSession
-    total = lines.agg(F.sum(F.size("pairs").cast("long"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
-    shared = saved(shared_posts(lines, parts), "shared")
-    free_shuffles(spark)
     classes = _classes(lines)
-    drop_saved(lines)
-    posts = shared.join(classes.select(F.col("cls").alias("c"), "ord", "n", "bits"), F.col("cls") == F.col("c"))
-    posts = saved(posts.select("pair", "ord", "place", "n", "bits"), "posts")
-    drop_saved(shared)
+    shared = saved(_shared(classes), "shared")
     free_shuffles(spark)
 
-    same = F.col("pair") == F.col("e_pair")
-    other = classes.select(F.col("ord").alias("e_ord"), F.col("n").alias("e_n"), F.col("bits").alias("e_bits"))
-    earliest = posts.groupBy(F.col("pair").alias("e_pair")).agg(F.min("ord").alias("other"), F.count("*").alias("posts")).filter("posts > 1")
-    earliest = saved(earliest, "earliest")
-    tries = posts.join(earliest, same & (F.col("other") < F.col("ord"))).select("ord", "other", "n", "bits").distinct()
-    tries = tries.join(other, (F.col("other") == F.col("e_ord")) & _may_match(share)).select("ord", "other")
-    done = _verified(docs, classes, tries, share)
+    own = classes.select(F.col("ord").alias("c"), "n", "bits", "more")
+    earlier = classes.select(F.col("ord").alias("e_ord"), F.col("n").alias("e_n"), F.col("bits").alias("e_bits"), F.col("more").alias("e_more"))
+    tries = shared.filter(F.col("other") < F.col("ord")).select("ord", "other").distinct()
+    tries = tries.join(own, F.col("ord") == F.col("c")).join(earlier, (F.col("other") == F.col("e_ord")) & _may_match(share, fine=True))
+    done = _verified(docs, classes, tries.select("ord", "other"), share)
 
     # The earliest class of a pair has met all others of it. Of what is left a post knows the pair before
     # it (prev): two classes with the same one have met there, or where that run of pairs begins.
-    crowded = earliest.filter("posts > 2").select("e_pair", "other")
-    state = classes.select(F.col("ord").alias("c"), "more").join(done.select(F.col("ord").alias("d")), F.col("c") == F.col("d"), "left")
-    left = posts.join(crowded, same & (F.col("other") != F.col("ord"))).select("pair", "ord", "place", "n", "bits")
+    same = F.col("pair") == F.col("e_pair")
+    state = own.join(done.select(F.col("ord").alias("d")), F.col("c") == F.col("d"), "left")
+    left = shared.filter((F.col("posts") > 2) & (F.col("other") != F.col("ord"))).select("pair", "ord", "place")
     left = left.withColumn("prev", F.lag("pair").over(Window.partitionBy("ord").orderBy("place", "pair")))
-    left = left.filter(F.col("prev").isNull() | (F.col("prev") != F.col("pair")))  # posts that came twice
     left = left.join(state, F.col("ord") == F.col("c")).withColumn("open", F.col("d").isNull()).drop("c", "d")
     marked = saved(left, "marked")
-    drop_saved(posts, earliest)
+    drop_saved(shared)
     free_shuffles(spark)
     others = marked.select(*[F.col(c).alias(f"e_{c}") for c in ("pair", "ord", "n", "bits", "more", "place", "prev")])
     new = F.col("prev").isNull() | F.col("e_prev").isNull() | (F.col("prev") != F.col("e_prev"))

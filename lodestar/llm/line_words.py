@@ -1,6 +1,6 @@
-"""Lines of whole texts as sets of words in the order of rarity, computed by numpy.
+"""Lines of whole texts as sets of words in the order of rarity, by DataFrame functions alone.
 
-A word is a 64-bit token: six bits of how common it is, then 58 bits of its hash. Sorted, the tokens
+A word is a 63-bit token: six bits of how common it is, then 57 bits of its hash. Sorted, the tokens
 of a line run from its rarest word to its most common one. How common a word is, is counted over all
 words of all documents by the first 16 bits of their hashes, in half powers of two; words with equal
 counts follow in the order of their hashes. The counts are a table of fixed size, whatever the
@@ -9,25 +9,25 @@ corpus; any order that is the same for all lines gives the same matches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_arrow
-from lodestar.llm.shingles import _BYTES, _PLACES, _table, mixed
+from lodestar.llm.common import SPACES
+from lodestar.llm.shingles import _BYTES, _table, mixed
 
 U = np.uint64
 COUNTERS = 1 << 16
-#: Bytes hashed together, and bytes of documents handled together, about.
-PIECE, CHUNK = 1 << 17, 1 << 20
+#: Bytes hashed together, about.
+PIECE = 1 << 17
 _APART = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
 
 def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every word `[^\\x20\\x09-\\x0D]+`, in order; lines are counted from 0."""
+    """(line, hash) of every word `[^\\x20\\x09-\\x0D]+`, in order; lines are counted from 0. The plain
+    version that tests hold the columns below against; no query runs it."""
     b = np.frombuffer(raw, np.uint8)
     inside = np.zeros(len(b) + 2, bool)
     np.logical_not(_APART[b], out=inside[1:-1])
@@ -48,62 +48,35 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return line, out
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes in all; a longer text is alone."""
-    at, weight = 0, 0
-    for k, t in enumerate(texts):
-        if weight and weight + len(t) > CHUNK:
-            yield at, k
-            at, weight = k, 0
-        weight += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
+def _hashes(text: Column, regex: str, plain: str) -> Column:
+    """64-bit hashes of the words of a text without null; parted by plain, a pattern that is quick to
+    split by, where no other character than its own parts words."""
+    rare = [s for s in SPACES if s not in plain]
+    odd = F.lit(False)
+    for s in rare:
+        odd = odd | F.contains(text, F.lit(s))
+    parts = F.when(odd, F.split(text, regex)).otherwise(F.split(text, plain))
+    return F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w))
 
 
-def _texts(column) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+def _counter(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 48).cast("int")
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
+def word_counts(docs: DataFrame) -> list[int]:
     """Words of all documents by the first 16 bits of their hashes: COUNTERS numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            texts = _texts(b.column(0))
-            for a, z in _chunks(texts):
-                total += np.bincount((words_of(b"\n".join(texts[a:z]))[1] >> U(48)).astype(np.int64), minlength=COUNTERS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["at", "n"])
-
-    counts = map_arrow(docs.select("text"), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(COUNTERS, np.int64)
+    spaces = f"[{SPACES}]"
+    words = docs.filter("text is not null").select(F.explode(F.split("text", spaces)).alias("w"))
+    counts = words.filter("w <> ''").groupBy(_counter(F.xxhash64("w")).alias("at")).agg(F.count("*").alias("n"))
+    out = [0] * COUNTERS
     for r in counts.collect():  # at most COUNTERS rows
         out[r["at"]] = r["n"]
     return out
 
 
-def commonness(counts: np.ndarray) -> np.ndarray:
+def commonness(counts: list[int]) -> list[int]:
     """0 (rarest) to 63 for each counter."""
-    return np.minimum(63, 2 * np.log2(np.maximum(counts, 1))).astype(U)
-
-
-def line_sets(raw: bytes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, n, first, tokens) of the lines with words: their numbers, how many distinct words each
-    has, and where its sorted tokens start."""
-    line, h = words_of(raw)
-    token = common[h >> U(48)] << U(58) | h >> U(6)
-    if not len(line):
-        return line, line, line, token
-    order = np.argsort(line.astype(U) << U(44) | token >> U(20)) if line[-1] < 1 << 20 else np.zeros(len(line), int)
-    at, t = line[order], token[order]
-    if ((at[1:] < at[:-1]) | ((at[1:] == at[:-1]) & (t[1:] < t[:-1]))).any() or line[-1] >= 1 << 20:
-        order = np.lexsort((token, line))
-        at, t = line[order], token[order]
-    new = np.r_[True, (at[1:] != at[:-1]) | (t[1:] != t[:-1])]
-    at, t = at[new], t[new]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], np.diff(np.r_[first, len(at)]), first, t
+    return [min(63, int(2 * math.log2(max(n, 1)))) for n in counts]
 
 
 def prefix_lengths(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
@@ -123,147 +96,41 @@ def prefix_lengths(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return np.minimum(out, np.maximum(n - 1, 0))
 
 
-LINES = "doc_id long, key long, line int, cls long, n int, bits long, more long, pairs array<bigint>"
-
-
-def line_records(docs: DataFrame, counts: np.ndarray, share: tuple[int, int]) -> DataFrame:
-    """LINES of docs (doc_id, key, text): of every line with words its class (a digest of its set),
-    the size of the set, the parity of its tokens by their last six bits (bits), the same of those tokens
-    alone whose seventh bit is set (more), and its prefix as hashes of neighbouring pairs."""
-    common = commonness(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = _texts(b.column(2))
-            for a, z in _chunks(texts):
-                yield from rows(b.slice(a, z - a), texts[a:z])
-
-    def rows(b: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        line, n, first, t = line_sets(b"\n".join(texts), common)
-        if not len(line):
-            return
-        from_ = np.cumsum([0] + [x.count(b"\n") + 1 for x in texts])
-        doc = np.searchsorted(from_, line, "right") - 1
-        cls = mixed(np.add.reduceat(mixed(t), first) + n.astype(U) * _PLACES[0])
-        bits, more = (np.bitwise_xor.reduceat(x << (t & U(63)), first) for x in (U(1), t >> U(6) & U(1)))
-        length = prefix_lengths(n, share)
-        i = np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-        pairs = mixed(t[i] * _PLACES[1] + t[i + 1] * _PLACES[2]).view(np.int64) if len(i) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(pairs))
-        columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), (line - from_[doc]).astype(np.int32), cls.view(np.int64), n.astype(np.int32), bits.view(np.int64), more.view(np.int64)]
-        out = pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), lists], names=[x.split()[0] for x in LINES.split(", ")])
-        for at in range(0, out.num_rows, 20_000):
-            yield out.slice(at, 20_000)
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "key", "text"), run, LINES)
-
-
-# --- pairs that several classes have, on packed arrays ---
-# A blob is: number of posts (int64), then of each its class (int64), the low half of its pair
-# (uint32), its place in the prefix (uint16, at most 65535) and whether it is known to be shared (uint8).
-
-BLOBS = "part int, known boolean, blob binary"
-POSTS = "pair long, cls long, place int"
-BATCH, PART = 1 << 20, 1 << 20
-
-
-def _pack(cls: np.ndarray, low: np.ndarray, place: np.ndarray, shared: np.ndarray) -> bytes:
-    return b"".join((np.int64(len(cls)).tobytes(), cls.tobytes(), low.astype(np.uint32).tobytes(), np.minimum(place, 65535).astype(np.uint16).tobytes(), shared.astype(np.uint8).tobytes()))
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    kinds, at, out = (np.int64, np.uint32, np.uint16, np.uint8), 8, []
-    for kind in kinds:
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return tuple(out)
-
-
-def _dealt(lines: DataFrame, parts: int) -> DataFrame:
-    """Posts of each batch of lines, dealt by pair. Of a pair that several classes of a batch have, one
-    post goes to the pair's part, marked; the others are known to be shared and go anywhere. So a
-    part gets one post for each batch and pair, however many lines have the pair."""
-
-    def flush(cls: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        one = np.zeros(len(cls), bool)
-        one[np.unique(cls, return_index=True)[1]] = True  # copies within the batch count once
-        place = np.arange(len(pairs)) - np.repeat(np.cumsum(n) - n, n)
-        keep = np.repeat(one, n)
-        owner, pairs, place = np.repeat(cls, n)[keep], pairs[keep].view(U), place[keep]
-        part = (pairs >> U(32)) % U(parts)
-        where = part << U(32) | pairs & U(0xFFFFFFFF)
-        order = np.argsort(where)
-        where, owner, place = where[order], owner[order], place[order]
-        if not len(where):
-            return
-        new = np.r_[True, where[1:] != where[:-1]]
-        group = np.cumsum(new) - 1
-        several = (np.bincount(group) > 1)[group]
-        part = (where >> U(32)).astype(np.int64)
-        for known, pick in ((False, new), (True, ~new)):
-            p, w, o, at, s = part[pick], where[pick], owner[pick], place[pick], several[pick]
-            edges = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True]) if len(p) else np.zeros(1, int)
-            got = [(int(p[x]), _pack(o[x:y], w[x:y] & U(0xFFFFFFFF), at[x:y], s[x:y])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            for k in range(0, len(got), 64):
-                some = got[k : k + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int32()), pa.array([known] * len(some)), pa.array([x for _, x in some], pa.binary())], names=["part", "known", "blob"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        weight = 0
-
-        def spill() -> Iterator[pa.RecordBatch]:
-            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-        for b in batches:
-            lists = b.column(1)
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            held.append((b.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), values))
-            weight += len(values)
-            if weight >= BATCH:
-                yield from spill()
-                held, weight = [], 0
-        if held:
-            yield from spill()
-
-    return map_arrow(lines.select("cls", "pairs"), run, BLOBS)
-
-
-def shared_posts(lines: DataFrame, parts: int) -> DataFrame:
-    """POSTS of the pairs that several classes have. A post may come more than once, from batches that
-    have several classes with its pair."""
-
-    def rows(pair: np.ndarray, cls: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(pair), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000], kind) for x, kind in ((pair, pa.int64()), (cls, pa.int64()), (place.astype(np.int32), pa.int32()))], names=["pair", "cls", "place"])
-
-    def found(part: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        cls, low, place, shared = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-        order = np.lexsort((cls, low))
-        cls, low, place, shared = cls[order], low[order], place[order], shared[order]
-        new = np.r_[True, low[1:] != low[:-1]]
-        group = np.cumsum(new) - 1
-        once = new | np.r_[True, cls[1:] != cls[:-1]]  # a class may come from several batches
-        keep = ((np.bincount(group, once) > 1) | (np.bincount(group, shared) > 0))[group] & once
-        yield from rows(low[keep].astype(np.int64) | part << 32, cls[keep], place[keep])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for part, known, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if known:
-                    cls, low, place, _ = _unpack(blob)
-                    yield from rows(low.astype(np.int64) | part << 32, cls, place)
-                    continue
-                if part != now and held:
-                    yield from found(now, held)
-                    held = []
-                now = part
-                held.append(blob)
-        if held:
-            yield from found(now, held)
-
-    to = F.when(F.col("known"), F.pmod(F.xxhash64("blob"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    blobs = _dealt(lines, parts).withColumn("to", to)
-    return map_arrow(blobs.repartition(parts, "to").sortWithinPartitions("to", "known", "part").select("part", "known", "blob"), run, POSTS)
+def prefix_length(n: Column, share: tuple[int, int]) -> Column:
+    """prefix_lengths() of a column."""
+    num, den = F.lit(share[0]).cast("long"), F.lit(share[1]).cast("long")
+    n, out = n.cast("long"), F.lit(0).cast("long")
+    for more in (0, 1, 2):
+        m = F.floor((n * num + den - 1) / den) + more
+        o = F.floor(((n + m) * num + (num + den - 1)) / (num + den))
+        some = (m * num <= n * den) & ((o < n) | (o < m))
+        out = F.greatest(out, F.when(some, (n - o) * 2 + (m - o) + 1).otherwise(0))
+    return F.least(out, F.greatest(n - 1, F.lit(0))).cast("int")
+
+
+def line_records(docs: DataFrame, counts: list[int], share: tuple[int, int]) -> DataFrame:
+    """(doc_id, key, line, cls, n, bits, more, pairs) of docs (doc_id, key, text): of every line with
+    words its class (a digest of its set), the size of the set, the parity of its tokens by their last
+    six bits (bits), the same of those tokens alone whose seventh bit is set (more), and its prefix as
+    hashes of neighbouring pairs."""
+    common = F.split(F.lit(",".join(str(c << 57) for c in commonness(counts))), ",").cast("array<bigint>")  # one constant
+    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = lines.filter(F.btrim("t", F.lit(SPACES)) != "")
+    hashes = F.array_distinct(_hashes(F.col("t"), f"[{SPACES}]+", " "))
+    tokens = F.transform(hashes, lambda h: F.get(common, _counter(h)).bitwiseOR(F.shiftrightunsigned(h, 7)))
+    df = lines.select("doc_id", "key", "line", F.sort_array(tokens).alias("t"))
+    bit = lambda t: t.bitwiseAND(F.lit(63)).cast("int")
+    parity = lambda of: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", of(t), bit(t))))
+    df = df.select(
+        "doc_id",
+        "key",
+        "line",
+        F.xxhash64("t").alias("cls"),
+        F.size("t").alias("n"),
+        parity(lambda t: F.lit(1).cast("long")).alias("bits"),
+        parity(lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(1).cast("long"))).alias("more"),
+        prefix_length(F.size("t"), share).alias("length"),
+        "t",
+    )
+    pairs = F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.xxhash64(F.get("t", i - 1), F.get("t", i)))
+    return df.select(*df.columns[:7], F.when(F.col("length") > 0, pairs).otherwise(F.array().cast("array<bigint>")).alias("pairs"))

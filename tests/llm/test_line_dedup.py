@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import line_dedup, line_words
 from tests.llm.conftest import ODD
@@ -130,3 +131,41 @@ def test_repeats_null_ids_and_empty_tables(make, prose):
     got = sorted((r["doc_id"] or -1, r["text"]) for r in line_dedup.dedup(make(rows)).collect())
     assert got == [(-1, b), (1, a), (1, a)]  # b goes to the null id, which comes first
     assert line_dedup.dedup(make([])).count() == 0
+
+
+def test_no_python_on_executors(make, prose, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    a, b = prose(6, 20), prose(7, 20)
+    assert removed(make([(1, f"{a}\n{b}"), (2, f"{b} more\n{prose(8, 20)}")])) == {1: [], 2: [0]}
+
+
+@pytest.mark.parametrize("share", [(80, 100), (75, 100), (9, 10), (1, 1)])
+def test_prefix_length_of_a_column(spark, share):
+    got = spark.range(1, 3000).select("id", line_words.prefix_length(F.col("id"), share).alias("k")).collect()
+    n = np.array([r["id"] for r in got])
+    assert [r["k"] for r in got] == line_words.prefix_lengths(n, share).tolist()
+
+
+def test_records_hold_all_words(make, prose):
+    """Lines, sizes and equal sets, against words_of()."""
+    texts = [t for t in ODD if t] + [prose(3, 400).replace(" s", "\n"), "b a\ta\x0bb\n\r\na b", "a b"]
+    docs = line_dedup.keyed(make(list(enumerate(texts))).select("doc_id", "text")).withColumnRenamed("__key", "key")
+    counts = line_words.word_counts(docs)
+    assert sum(counts) == sum(len(line_words.words_of(t.encode())[0]) for t in texts)
+    want = {}
+    for i, t in enumerate(texts):
+        for k, w in zip(*line_words.words_of(t.encode()), strict=True):
+            want.setdefault((i, int(k)), set()).add(int(w))
+    got = {(r["doc_id"], r["line"]): r for r in line_words.line_records(docs, counts, (80, 100)).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    assert len({r["cls"] for r in got.values()}) == len({frozenset(v) for v in want.values()})
+    same = {}
+    for k, r in got.items():
+        same.setdefault(r["cls"], set()).add(frozenset(want[k]))
+    assert all(len(v) == 1 for v in same.values())
