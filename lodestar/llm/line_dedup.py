@@ -31,16 +31,20 @@ three quarters is an error: below it matching sets need not have neighbours in c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import drop_saved, free_shuffles, let, saved, text_of, words
-from lodestar.llm.line_words import line_records, word_counts
+from lodestar.llm.line_words import line_records, prefix_pairs, word_counts
 
 SHARE = (80, 100)
 #: Bits of a place in a prefix; later places count as the last one, which the positional filter lets pass more.
 _PLACE_BITS = 12
 _LAST = (1 << _PLACE_BITS) - 1
+#: Columns that hold hashes, as Parquet names them.
+_HASHES = ("cls", "bits", "more", "prefix.list.element", "pair")
 
 
 def _overlap(n: Column, m: Column, share: tuple[int, int]) -> Column:
@@ -63,13 +67,13 @@ def lines_of(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(cls, first, n, bits, more, pairs, ord): ord grows with first, the place of the class."""
-    own = F.first(F.struct("n", "bits", "more", "pairs")).alias("own")
-    out = saved(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), own), "classes")
+    """(cls, first, n, bits, more, prefix, ord): ord grows with first, the place of the class."""
+    own = F.first(F.struct("n", "bits", "more", "prefix")).alias("own")
+    out = saved(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), own), "classes", _HASHES)
     drop_saved(lines)
     free_shuffles(lines.sparkSession)
     numbered = out.orderBy("first").select("cls", "first", "own.*", F.monotonically_increasing_id().alias("ord"))
-    numbered = saved(numbered, "numbered")
+    numbered = saved(numbered, "numbered", _HASHES)
     drop_saved(out)
     free_shuffles(lines.sparkSession)
     return numbered
@@ -79,7 +83,7 @@ def _shared(classes: DataFrame) -> DataFrame:
     """(pair, ord, place, other, posts) of the pairs that several classes have: how many have it, and the
     earliest. Place and ord are one number while they are dealt out by pair."""
     at = F.shiftleft("ord", _PLACE_BITS).bitwiseOR(F.least(F.col("place"), F.lit(_LAST)).cast("long"))
-    posts = classes.select("ord", F.posexplode("pairs").alias("place", "pair")).select("pair", at.alias("at"))
+    posts = prefix_pairs(classes, "ord").select("pair", at.alias("at"))
     same = Window.partitionBy("pair")
     posts = posts.select("pair", "at", F.min("at").over(same).alias("low"), F.count("*").over(same).alias("posts")).filter("posts > 1")
     place = F.col("at").bitwiseAND(F.lit(_LAST).cast("long")).cast("int")
@@ -108,13 +112,28 @@ def _in_prefix(share: tuple[int, int]) -> Column:
     return (F.col("place") <= 2 * (n - overlap) + m - overlap) & (F.col("e_place") <= 2 * (m - overlap) + n - overlap)
 
 
+def _among(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that all keys (a column of 64-bit hashes) pass and most others fail, as long as there are
+    fewer than its four million bits; with more it only lets more pass."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(63).cast("int"))
+    at = lambda key: F.shiftrightunsigned(key, 48).cast("int")
+    bits = [0] * (1 << 16)
+    for r in keys.groupBy(at(F.col("key")).alias("at")).agg(F.bit_or(one).alias("bits")).collect():  # at most 65536 rows
+        bits[r["at"]] = r["bits"]
+    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # one constant
+    return lambda key: F.call_function("bit_get", F.get(table, at(key)), key.bitwiseAND(63).cast("int")) == 1
+
+
 def _verified(docs: DataFrame, classes: DataFrame, tries: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(ord, other) that match, of the candidates: one other for each ord."""
     pairs = saved(tries.distinct(), "pairs")
     free_shuffles(docs.sparkSession)
     wanted = pairs.select("ord").union(pairs.select("other")).distinct().join(classes.select(F.col("ord").alias("c"), "first"), F.col("ord") == F.col("c"))
     wanted = wanted.groupBy(F.col("first.doc_id").alias("__d"), F.col("first.key").alias("__k")).agg(F.collect_list(F.struct("ord", F.col("first.line").alias("line"))).alias("wanted"))
-    df = keyed(docs.select("doc_id", "text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
+    wanted = saved(wanted, "wanted")
+    free_shuffles(docs.sparkSession)
+    holds = _among(wanted.select(F.col("__k").alias("key")))  # so that few other texts are shuffled
+    df = keyed(docs.select("doc_id", "text")).filter(holds(F.col("__key"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
     picked = let(F.split(text_of(F.col("text")), "\n"), lambda l: F.transform("wanted", lambda w: F.struct(w["ord"].alias("ord"), F.get(l, w["line"]).alias("t"))))
     df = df.select(F.explode(picked).alias("p")).select("p.ord", F.array_distinct(F.transform(words(F.col("p.t")), lambda w: F.xxhash64(w))).alias("tokens"))
     sets = saved(df.dropDuplicates(["ord"]), "sets")  # repeated rows of a document give a class again
@@ -124,7 +143,7 @@ def _verified(docs: DataFrame, classes: DataFrame, tries: DataFrame, share: tupl
     both = share[0] + share[1]
     df = df.filter(F.size(F.array_intersect("t1", "t2")) * both >= (F.size("t1") + F.size("t2")) * share[0])
     out = saved(df.groupBy("ord").agg(F.min("other").alias("other")), "verified")
-    drop_saved(pairs, sets)
+    drop_saved(pairs, wanted, sets)
     free_shuffles(docs.sparkSession)
     return out
 
@@ -134,7 +153,7 @@ def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SH
     matches. The lines are dropped once their pairs have been dealt out."""
     spark = docs.sparkSession
     classes = _classes(lines)
-    shared = saved(_shared(classes), "shared")
+    shared = saved(_shared(classes), "shared", _HASHES)
     free_shuffles(spark)
 
     own = classes.select(F.col("ord").alias("c"), "n", "bits", "more")
@@ -150,7 +169,7 @@ def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SH
     left = shared.filter((F.col("posts") > 2) & (F.col("other") != F.col("ord"))).select("pair", "ord", "place")
     left = left.withColumn("prev", F.lag("pair").over(Window.partitionBy("ord").orderBy("place", "pair")))
     left = left.join(state, F.col("ord") == F.col("c")).withColumn("open", F.col("d").isNull()).drop("c", "d")
-    marked = saved(left, "marked")
+    marked = saved(left, "marked", _HASHES)
     drop_saved(shared)
     free_shuffles(spark)
     others = marked.select(*[F.col(c).alias(f"e_{c}") for c in ("pair", "ord", "n", "bits", "more", "place", "prev")])
@@ -165,7 +184,7 @@ def later_matches(docs: DataFrame, lines: DataFrame, share: tuple[int, int] = SH
 def removals(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """(doc_id, key, n_lines, removed): of each document with words the number of its lines with
     words, and the numbers (from 0, blank lines count) of those that go."""
-    records = saved(lines_of(docs, share), "records")
+    records = saved(lines_of(docs, share), "records", _HASHES)
     lines = saved(records.select("doc_id", "key", "line", "cls"), "lines")
     classes, matched = later_matches(docs, records, share)
     gone = classes.join(matched.select(F.col("ord").alias("m")), F.col("ord") == F.col("m"), "left")

@@ -109,19 +109,21 @@ def prefix_length(n: Column, share: tuple[int, int]) -> Column:
 
 
 def line_records(docs: DataFrame, counts: list[int], share: tuple[int, int]) -> DataFrame:
-    """(doc_id, key, line, cls, n, bits, more, pairs) of docs (doc_id, key, text): of every line with
+    """(doc_id, key, line, cls, n, bits, more, prefix) of docs (doc_id, key, text): of every line with
     words its class (a digest of its set), the size of the set, the parity of its tokens by their last
-    six bits (bits), the same of those tokens alone whose seventh bit is set (more), and its prefix as
-    hashes of neighbouring pairs."""
+    six bits (bits), the same of those tokens alone whose seventh bit is set (more), and the tokens of
+    the neighbouring pairs of its prefix, from which prefix_pairs() makes these."""
     common = F.split(F.lit(",".join(str(c << 57) for c in commonness(counts))), ",").cast("array<bigint>")  # one constant
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    lines = lines.filter(F.btrim("t", F.lit(SPACES)) != "")
+    lines = lines.filter(F.ltrim("t", F.lit(SPACES)) != "")  # from one end: btrim() looks at all characters
     hashes = F.array_distinct(_hashes(F.col("t"), f"[{SPACES}]+", " "))
-    tokens = F.transform(hashes, lambda h: F.get(common, _counter(h)).bitwiseOR(F.shiftrightunsigned(h, 7)))
+    rarity = lambda h: F.coalesce(F.get(common, _counter(h)), F.lit(0).cast("long"))  # noqa: E731 (never null, so that longs are sorted)
+    tokens = F.transform(hashes, lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 7)))
     df = lines.select("doc_id", "key", "line", F.sort_array(tokens).alias("t"))
     bit = lambda t: t.bitwiseAND(F.lit(63)).cast("int")
     parity = lambda of: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", of(t), bit(t))))
-    df = df.select(
+    length = prefix_length(F.size("t"), share)
+    return df.select(
         "doc_id",
         "key",
         "line",
@@ -129,8 +131,12 @@ def line_records(docs: DataFrame, counts: list[int], share: tuple[int, int]) ->
         F.size("t").alias("n"),
         parity(lambda t: F.lit(1).cast("long")).alias("bits"),
         parity(lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(1).cast("long"))).alias("more"),
-        prefix_length(F.size("t"), share).alias("length"),
-        "t",
+        F.slice("t", F.lit(1), F.when(length > 0, length + 1).otherwise(0)).alias("prefix"),
     )
-    pairs = F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.xxhash64(F.get("t", i - 1), F.get("t", i)))
-    return df.select(*df.columns[:7], F.when(F.col("length") > 0, pairs).otherwise(F.array().cast("array<bigint>")).alias("pairs"))
+
+
+def prefix_pairs(records: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, place, pair) of the neighbouring pairs of each prefix, as hashes. Made one by one as
+    rows, where the code is compiled, and not in an array."""
+    places = records.filter(F.size("prefix") > 1).select(*columns, "prefix", F.explode(F.sequence(F.lit(0), F.size("prefix") - 2)).alias("place"))
+    return places.select(*columns, "place", F.xxhash64(F.get("prefix", F.col("place")), F.get("prefix", F.col("place") + 1)).alias("pair"))

@@ -169,3 +169,27 @@ def test_records_hold_all_words(make, prose):
     for k, r in got.items():
         same.setdefault(r["cls"], set()).add(frozenset(want[k]))
     assert all(len(v) == 1 for v in same.values())
+
+
+def test_prefixes_are_rows_of_neighbouring_tokens(make, prose):
+    """Tokens without nulls, which are sorted as longs; pairs made as rows, as many as the bound says."""
+    docs = line_dedup.keyed(make([(k, prose(60 + k, n)) for k, n in enumerate((1, 2, 9, 40, 300))]).select("doc_id", "text")).withColumnRenamed("__key", "key")
+    records = line_words.line_records(docs, line_words.word_counts(docs), (80, 100))
+    assert not records.schema["prefix"].dataType.containsNull
+    rows = {r["doc_id"]: r for r in records.collect()}
+    want = {i: int(line_words.prefix_lengths(np.array([r["n"]]), (80, 100))[0]) for i, r in rows.items()}
+    assert {i: len(r["prefix"]) for i, r in rows.items()} == {i: k + 1 if k else 0 for i, k in want.items()}
+    assert all(list(r["prefix"]) == sorted(r["prefix"]) for r in rows.values())
+    places = {}
+    for r in line_words.prefix_pairs(records, "doc_id").collect():
+        places.setdefault(r["doc_id"], []).append(r["place"])
+    assert {i: sorted(p) for i, p in places.items()} == {i: [*range(k)] for i, k in want.items() if k}
+
+
+def test_only_wanted_texts_are_shuffled(spark):
+    """Verification reads all texts and passes on those that hold a wanted line, and few others."""
+    wanted, all_ = (spark.range(n).select(F.xxhash64("id").alias("key")) for n in (5000, 100_000))
+    holds = line_dedup._among(wanted)
+    assert wanted.filter(holds(F.col("key"))).count() == 5000
+    assert all_.filter(holds(F.col("key"))).count() < 5500
+    assert all_.filter(line_dedup._among(wanted.limit(0))(F.col("key"))).count() == 0
